@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from swathkit.llm import decontaminate, exact_dedup, packing, token_store
+from swathkit.llm import decontaminate, exact_dedup, packing, quality, simhash, token_store, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_token_store": token_store.op6_token_store,
+    "op8_quality": quality.op8_quality,
+    "op9_simhash": simhash.op9_simhash,
     "op10_pack": packing.op10_pack,
 }
 ORACLE_SQL = decontaminate.SQL | exact_dedup.SQL
