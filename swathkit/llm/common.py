@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,7 +71,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def skew_join(rows: DataFrame, per_key: DataFrame, key: str, n: str, total: int) -> DataFrame:
+def skew_join(rows: DataFrame, per_key: DataFrame, key: str | list[str], n: str, total: int) -> DataFrame:
     """Inner join of rows with per_key, which has one row a key with the number n of its rows.
 
     Heavy keys (at least total/HEAVY_KEYS rows, so HEAVY_KEYS keys at most) are broadcast and their rows stay where
@@ -80,7 +81,7 @@ def skew_join(rows: DataFrame, per_key: DataFrame, key: str, n: str, total: int)
     heavy = per_key.filter(F.col(n) >= least)
     light = per_key.filter(F.col(n) < least)
     hot = rows.join(F.broadcast(heavy), key)
-    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
+    rest = rows.join(F.broadcast(heavy.select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(light, key)
     return hot.unionByName(rest)
 
 
@@ -99,6 +100,23 @@ def presence_filter(rows: DataFrame, at: Column, keys: DataFrame, key_at: Column
     return out.drop("_at", "_block", "_off", "_bits")
 
 
+def bitmap(keys: DataFrame, at: Column, n_keys: int, bits_each: int = 32) -> np.ndarray:
+    """The bits of keys' hashes `at` (non-negative longs), on the driver: bits_each bits a key, at most MAX_BITMAP_BITS (32 MB)."""
+    bits = min(max(BITMAP_BITS, 1 << (bits_each * max(n_keys, 1) - 1).bit_length()), MAX_BITMAP_BITS)
+    pos = F.pmod(at, F.lit(bits).cast("long"))
+    rows = keys.groupBy((pos / BITMAP_BITS).cast("long").alias("b")).agg(F.bitmap_construct_agg(F.pmod(pos, F.lit(BITMAP_BITS).cast("long"))).alias("m")).collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for b, m in rows:
+        out[b * BITMAP_BITS // 8 : (b + 1) * BITMAP_BITS // 8] = np.frombuffer(bytes(m), np.uint8)
+    return out
+
+
+def in_bitmap(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the hashes `at` may be in bitmap()'s keys."""
+    pos = at % (8 * len(bits))
+    return (bits[pos >> 3] >> (pos & 7).astype(np.uint8)) & 1 == 1
+
+
 def batches_of(schema: pa.Schema, rows: Iterator[tuple], size: int = 4096) -> Iterator[pa.RecordBatch]:
     """Rows as Arrow batches of bounded size."""
     held: list[tuple] = []
