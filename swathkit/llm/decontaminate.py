@@ -20,8 +20,9 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,6 +87,18 @@ class Scanner:
         return len(words), [(a, b) for a, b in runs], ids
 
 
+_SCANNERS: dict[tuple, Scanner] = {}
+
+
+def scanner_of(share, size: int) -> Scanner:
+    """The scanner of a broadcast share; a process keeps the last one."""
+    key = (share._path or id(share), size)
+    if key not in _SCANNERS:
+        _SCANNERS.clear()
+        _SCANNERS[key] = Scanner(share.value, size)
+    return _SCANNERS[key]
+
+
 def spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Runs of words as (start, end) character offsets in the original text."""
     raw = text.encode()
@@ -106,7 +119,7 @@ def shares(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[
 
 def _scanned(share, size: int, only_hits: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(share.value, size)
+        scanner = scanner_of(share, size)
         schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
         def rows():
@@ -145,6 +158,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **names: str) -> DataFr
     return ordered.select("doc_id", "n_words", n_hit.alias("n_hit"), "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def contaminated_column(text: Column, spark: SparkSession, benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", size: int = WINDOW) -> Column:
+    """Whether each text has a hit, by vectorised UDFs (one a share of the benchmark); adds no shuffle, and columns beside it stay."""
+    raw, out = F.coalesce(text.cast("string"), F.lit("")), F.lit(False)
+    for part in shares(benchmark, item_col, item_text):
+        out = out | _hit(spark.sparkContext.broadcast(part), size)(raw)
+    return out
+
+
+def _hit(share, size: int):
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        scanner = scanner_of(share, size)
+        return pd.Series([bool(scanner.scan(t.encode())[1]) for t in texts], dtype=bool)
+
+    return run
+
+
 def digest_of(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 

@@ -74,21 +74,21 @@ class DigestIndex:
         return runs[0] if len(runs) == 1 else self._merged(self._union(runs))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256_of, batches: int = 1) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256_of, batches: int = 1, text_hash: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256 (see the module for edge cases).
 
     digest: text -> binary; only tests replace it, to see that colliding texts are told apart. batches: into how many
-    memtable flushes the rows go.
+    memtable flushes the rows go. text_hash: adds the xxhash64 of the text as it is.
     """
     spark = prepare(docs.sparkSession)
-    norm = documents(docs, id_col, text_col).select("doc_id", F.regexp_replace("text", SPACES, " ").alias("text"))
-    rows = written(norm.select(F.monotonically_increasing_id().alias("rid"), "doc_id", digest(F.col("text")).alias("digest"), sha256_of(F.col("text")).alias("sha")), "digests")
+    norm = documents(docs, id_col, text_col).select("doc_id", F.regexp_replace("text", SPACES, " ").alias("text"), F.xxhash64("text").alias("text_hash"))
+    rows = written(norm.select(F.monotonically_increasing_id().alias("rid"), "doc_id", *["text_hash"] * text_hash, digest(F.col("text")).alias("digest"), sha256_of(F.col("text")).alias("sha")), "digests")
     index = DigestIndex(spark)
     for k in range(batches):
         index.append(rows if batches == 1 else rows.filter(F.pmod("rid", F.lit(batches)) == k))
     merged = index.merged()
     total, hits = merged.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") > 1).cast("long")), F.lit(0))).first()
-    out = lambda df: df.select("doc_id", F.col("first.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("first.rid") == F.col("rid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    out = lambda df: df.select("doc_id", F.col("first.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("first.rid") == F.col("rid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), *["text_hash"] * text_hash)
     if not hits:
         return out(rows.join(merged, "digest"))
     # Byte verification: rows of hit digests are grouped by their bytes; copies within a task meet before the shuffle.
@@ -104,7 +104,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wrong = by_sha.groupBy("digest").count().join(split, "digest").filter("count != texts")
     if not wrong.isEmpty():
         raise ValueError("different texts share their SHA-256")
-    return out(found.join(split, "digest", "left_anti")).unionByName(out(apart.select("rid", "doc_id", "digest", "sha").join(by_sha, ["digest", "sha"])))
+    return out(found.join(split, "digest", "left_anti")).unionByName(out(apart.drop("texts").join(by_sha, ["digest", "sha"])))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,16 +88,16 @@ def _fingerprints(size: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(x.as_py(), size, seed) for x in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp)], names=["doc_id", "text_hash", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+    """doc_id, text_hash (xxhash64 of the text), fp (the fingerprint as a signed long)."""
     prepare(docs.sparkSession)
     base = documents(docs, id_col, text_col)
-    return base.select("doc_id", F.col("text").cast("binary")).mapInArrow(_fingerprints(size, seed), "doc_id long, fp long")
+    return base.select("doc_id", F.col("text").cast("binary"), F.xxhash64("text").alias("text_hash")).mapInArrow(_fingerprints(size, seed), "doc_id long, text_hash long, fp long")
 
 
 def golay_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,8 +135,8 @@ def links(distinct: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     return pairs.unionByName(rays)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """Per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links)."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bucket: int = MAX_BUCKET, text_hash: bool = False) -> DataFrame:
+    """Per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links); text_hash adds the xxhash64 of the text."""
     rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes")
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -145,7 +145,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = linked.select("fp", "n", "root").join(firsts, "root").select("fp", "n", "component_id")
     out = skew_join(rows, written(labels, "labels"), "fp", "n", total)
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *["text_hash"] * text_hash)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
