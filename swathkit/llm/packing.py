@@ -31,43 +31,42 @@ SIZE, END_ID, DIMS, BITS, SEED = 2048, 1, 4, 8, 20240501
 
 
 def directions(n_ids: int, dims: int = DIMS, seed: int = SEED) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((n_ids, dims)).astype(np.float32)
+    return np.random.default_rng(seed).standard_normal((dims, n_ids)).astype(np.float32)
 
 
-def hilbert_key(cell: np.ndarray, bits: int = BITS) -> int:
-    """Hilbert index of a cell (Skilling's transposition), of cell.size * bits bits."""
-    x, n = [int(v) for v in cell], len(cell)
-    q = 1 << (bits - 1)
-    while q > 1:
-        p = q - 1
+def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Hilbert indices of cells (rows of coordinates of that many bits), by Skilling's transposition."""
+    x = cells.astype(np.int64).T.copy()
+    n = len(x)
+    for b in range(bits - 1, 0, -1):
+        p = (1 << b) - 1
         for i in range(n):
-            if x[i] & q:
-                x[0] ^= p
-            else:
-                t = (x[0] ^ x[i]) & p
-                x[0] ^= t
+            high = (x[i] >> b & 1).astype(bool)
+            t = np.where(high, 0, (x[0] ^ x[i]) & p)
+            x[0] ^= np.where(high, p, t)
+            if i:
                 x[i] ^= t
-        q >>= 1
     for i in range(1, n):
         x[i] ^= x[i - 1]
-    t, q = 0, 1 << (bits - 1)
-    while q > 1:
-        if x[n - 1] & q:
-            t ^= q - 1
-        q >>= 1
-    key = 0
+    t = np.zeros(x.shape[1], np.int64)
+    for b in range(bits - 1, 0, -1):
+        t ^= np.where(x[n - 1] >> b & 1, (1 << b) - 1, 0)
+    key = np.zeros(x.shape[1], np.int64)
     for b in range(bits - 1, -1, -1):
         for i in range(n):
             key = key << 1 | ((x[i] ^ t) >> b & 1)
     return key
 
 
-def curve_key(ids: np.ndarray, table: np.ndarray, bits: int = BITS) -> int:
-    if not len(ids):
-        return hilbert_key(np.full(table.shape[1], 1 << (bits - 1)), bits)
-    v = sum((table[ids[k : k + 65536]].sum(axis=0, dtype=np.float64) for k in range(0, len(ids), 65536)), np.zeros(table.shape[1]))
-    v = v / max(float(np.sqrt((v * v).sum())), 1e-12)
-    return hilbert_key(np.minimum(((v + 1) / 2 * (1 << bits)).astype(np.int64), (1 << bits) - 1), bits)
+def direction(ids: np.ndarray, table: np.ndarray) -> list[float]:
+    """The sum of the ids' directions; table has a row a dimension."""
+    return [float(t[ids].sum(dtype=np.float64)) for t in table]
+
+
+def curve_keys(sums: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Hilbert keys of the unit vectors along these sums (zero stays zero)."""
+    v = sums / np.maximum(np.sqrt((sums * sums).sum(axis=1, keepdims=True)), 1e-12)
+    return hilbert_keys(np.minimum(((v + 1) / 2 * (1 << bits)).astype(np.int64), (1 << bits) - 1), bits)
 
 
 def cuts(total: int, size: int = SIZE) -> tuple[int, list[int]]:
@@ -101,18 +100,12 @@ def _encoding(vocab: str, kind: str, dtype: str, end_id: int):
         enc, end = encoder(vocab, kind, dtype), np.asarray(end_id, dtype).tobytes()
         table = directions(enc.tokenizer.get_vocab_size())
         rid = TaskContext.get().partitionId() << 33
-        schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
-
-        def rows():
-            nonlocal rid
-            for b in batches:
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    raw = enc.encode(text.as_py())
-                    ids = np.frombuffer(raw, dtype)
-                    yield rid, doc, curve_key(ids, table), len(ids) + 1, raw + end
-                    rid += 1
-
-        yield from batches_of(schema, rows(), 500)
+        for b in batches:
+            raw = [enc.encode(t.as_py()) for t in b.column(1)]
+            ids = [np.frombuffer(r, dtype) for r in raw]
+            keys = curve_keys(np.array([direction(x, table) for x in ids]).reshape(-1, DIMS))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + len(raw))), b.column(0), pa.array(keys), pa.array([len(x) + 1 for x in ids], pa.int64()), pa.array([r + end for r in raw], pa.binary())], names=["rid", "doc_id", "key", "n", "ids"])
+            rid += len(raw)
 
     return run
 

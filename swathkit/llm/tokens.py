@@ -16,7 +16,7 @@ import re
 import numpy as np
 import regex
 
-CACHE_PARTS = 300_000  # then the cache is emptied: about 50 MB a worker
+CACHE_PARTS = 400_000  # of a generation; when it is full it replaces the one before: about 120 MB a worker
 END = b"\xff"  # stands for an end-of-word suffix: never a byte of UTF-8
 COMMON = "ɐ"  # below: characters that normalisation to NFC leaves alone and that have plain lower-case forms ...
 ODD = "İ"  # ... but for this one
@@ -69,6 +69,9 @@ class Encoder(dict):
             if ranks.setdefault(raw(a) + raw(b), 512 + k) == 512 + k:
                 ids[512 + k] = vocab[a + b]
         self.end = END if suffix else b""
+        self.old: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
+        self.line_break = self.whole("\n")
         self.code = {r: np.asarray(v or 0, self.dtype).tobytes() for r, v in ids.items()}
         self.merge = tiktoken.Encoding("merges", pat_str=r".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
@@ -76,26 +79,45 @@ class Encoder(dict):
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def __missing__(self, part: str) -> bytes:
-        body = part[1:] if part[0] == " " else part
-        if self.kind == "byte" and (not body or body[0].isspace() or body[-1].isspace()):
-            raise Unsafe
-        if part.isascii() or (max(part) < COMMON and ODD not in part):
-            line = part if self.kind == "byte" else part.lower()
-            if body.isalpha():
-                pieces = [line]
-            elif line[-1] in ".,!?;:" and body[:-1].isalpha():
-                pieces = [line[:-1], line[-1]]
-            else:
-                pieces = self.pattern.findall(line)
-            code = self.code
-            out = b"".join([code[r] for x in pieces for r in self.merge(x.encode() + self.end)])
-        else:
-            out = self.whole(part)
+        out = self.old.get(part)
+        if out is None:
+            out = self._new(part)
         if len(self) >= CACHE_PARTS:
+            self.old = dict(self)
             self.clear()
         self[part] = out
         return out
 
+    def _new(self, part: str) -> bytes:
+        body = part[1:] if part[0] == " " else part
+        if self.kind == "byte":
+            if not body or body[0].isspace() or body[-1].isspace():
+                raise Unsafe
+            if "\n" in part:  # a line break between two other characters is a pre-token by itself
+                lines = part.split("\n")
+                if not all(lines):
+                    raise Unsafe
+                return self.line_break.join([self[x] for x in lines])
+        if not part.isascii() and (max(part) >= COMMON or ODD in part):
+            return self.whole(part)
+        line = part if self.kind == "byte" else part.lower()
+        if body.isalpha():
+            pieces = [line]
+        elif line[-1] in ".,!?;:" and body[:-1].isalpha():
+            known = self.get(part[:-1]) or self.old.get(part[:-1])
+            if known:
+                return known + self.whole_of(line[-1])
+            pieces = [line[:-1], line[-1]]
+        else:
+            pieces = self.pattern.findall(line)
+        code = self.code
+        return b"".join([code[r] for x in pieces for r in self.merge(x.encode() + self.end)])
+
+    def whole_of(self, sign: str) -> bytes:
+        if sign not in self.signs:
+            self.signs[sign] = self.whole(sign)
+        return self.signs[sign]
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""

@@ -28,17 +28,16 @@ def lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return spark.createDataFrame([], "line string, file_no int, seq long") if out is None else out
 
 
-def _kept(raw: DataFrame, stop_at_blank: bool) -> DataFrame:
-    if not stop_at_blank:
-        return raw.filter(F.col("line") != "")
-    end = raw.filter(F.col("line") == "").groupBy("file_no").agg(F.min("seq").alias("stop"))  # a row a file
-    return raw.join(F.broadcast(end), "file_no", "left").filter(F.col("stop").isNull() | (F.col("seq") < F.col("stop"))).drop("stop")
-
-
-def _fields(raw: DataFrame) -> DataFrame:
+def _fields(raw: DataFrame, stop_at_blank: bool) -> DataFrame:
+    """Adds f, the fields of lines that count. The check of their number asks itself whether the line counts, as filters may be reordered."""
+    live = F.col("line") != ""
+    if stop_at_blank:
+        end = raw.filter(F.col("line") == "").groupBy("file_no").agg(F.min("seq").alias("stop"))  # a row a file
+        raw = raw.join(F.broadcast(end), "file_no", "left")
+        live = live & (F.col("stop").isNull() | (F.col("seq") < F.col("stop")))
     f = F.split("line", "\t", -1)
-    checked = F.when(F.size(f) < 4, F.raise_error(F.concat(F.lit("fewer than four fields: "), F.col("line")))).otherwise(f)
-    return raw.withColumn("f", checked)
+    checked = F.when(live & (F.size(f) < 4), F.raise_error(F.concat(F.lit("fewer than four fields: "), F.col("line")))).otherwise(f)
+    return raw.withColumn("f", checked).filter(live)
 
 
 def _bad(field: Column) -> Column:
@@ -53,14 +52,14 @@ def repaired(start: Column, end: Column) -> tuple[Column, Column]:
 
 def read_products(spark: SparkSession, paths: str | Sequence[str], stop_at_blank: bool = True) -> DataFrame:
     """path, start_ms, end_ms, wkt, ingest_seq; lines with a bad time are left out."""
-    rows = _fields(_kept(lines(spark, [paths] if isinstance(paths, str) else paths), stop_at_blank))
+    rows = _fields(lines(spark, [paths] if isinstance(paths, str) else paths), stop_at_blank)
     f = F.col("f")
     start, end = repaired(parsed(f[1]), parsed(f[2]))
     return rows.filter(~_bad(f[1]) & ~_bad(f[2])).select(f[0].alias("path"), start.alias("start_ms"), end.alias("end_ms"), f[3].alias("wkt"), F.col("seq").alias("ingest_seq"))
 
 
 def bad_lines(spark: SparkSession, paths: str | Sequence[str], stop_at_blank: bool = True) -> DataFrame:
-    rows = _fields(_kept(lines(spark, [paths] if isinstance(paths, str) else paths), stop_at_blank))
+    rows = _fields(lines(spark, [paths] if isinstance(paths, str) else paths), stop_at_blank)
     return rows.filter(_bad(F.col("f")[1]) | _bad(F.col("f")[2])).select("line", "file_no")
 
 
