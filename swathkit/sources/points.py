@@ -128,5 +128,5 @@ def records(spark: SparkSession, path: str, date_format: str | None = DEFAULT_FO
     quoted = [F.col(f"`{n}`") for n in header.names]
     types = dict(rows.dtypes)
     parts = [F.when(quoted[k].isNotNull(), quoted[k].cast("long").cast("string")) if types[header.names[k]] == "double" and len(header.time) > 1 else quoted[k].cast("string") for k in header.time]
-    time = F.unix_millis(F.to_timestamp(F.concat_ws(",", *parts) if len(parts) > 1 else parts[0], F.lit(header.date_format or DEFAULT_FORMAT))) if parts else F.lit(None).cast("long")
+    time = F.unix_millis(F.to_timestamp(F.concat_ws(",", *parts) if len(parts) > 1 else parts[0], header.date_format or DEFAULT_FORMAT)) if parts else F.lit(None).cast("long")
     return rows.select("rec_id", time.alias("time_ms"), checked(quoted[header.lon].cast("double"), -180, 360, "longitude").alias("lon"), checked(quoted[header.lat].cast("double"), -90, 90, "latitude").alias("lat"))
