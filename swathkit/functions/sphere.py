@@ -16,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Ring = list[tuple[float, float]]
+TOUCH = 1e-13  # sines of angles below this count as zero
 NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 
 
@@ -113,10 +114,21 @@ def meet(rings: np.ndarray, query: np.ndarray) -> np.ndarray:
         na, nq = np.cross(a, a2), np.cross(query, q2)
         s1, s2 = na @ query.T, na @ q2.T  # the query's ends against a's edges
         s3, s4 = a @ nq.T, a2 @ nq.T
-        out[near] = winds(a, np.broadcast_to(query[0], (len(a), 3))) | contains(query, a[:, 0]) | ((s1 * s2 < 0) & (s3 * s4 < 0) & (s1 * s4 > 0)).any(axis=(1, 2))
+        found = winds(a, np.broadcast_to(query[0], (len(a), 3))) | contains(query, a[:, 0]) | ((s1 * s2 < 0) & (s3 * s4 < 0) & (s1 * s4 > 0)).any(axis=(1, 2))
+        # rings with a vertex on the other's edge may share all of an inside without a crossing: points well inside decide
+        touch = ~found & (np.minimum(np.abs(s1), np.abs(s3)).min(axis=(1, 2)) < TOUCH)
+        for k in np.flatnonzero(touch):
+            found[k] = any((contains(one, p) & contains(other, p)).any() for one, other in ((a[k], query), (query, a[k])) for p in [inner_points(one)])
+        out[near] = found
     return out
 
 
+def inner_points(ring: np.ndarray) -> np.ndarray:
+    """The middles of a ring and of each three of its vertices in a row; some lie inside."""
+    p = np.concatenate([ring.sum(axis=0)[None], ring + np.roll(ring, -1, axis=0) + np.roll(ring, -2, axis=0)])
+    return p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-12)
+
+
 def intersects(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two rings' insides meet."""
     return bool(meet(a[None], b)[0])
