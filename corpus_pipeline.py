@@ -13,15 +13,16 @@ from swathkit.llm import decontaminate as leaks
 from swathkit.llm import exact_dedup as exact
 from swathkit.llm import packing, simhash
 from swathkit.llm import quality as pu
-from swathkit.llm.common import prepare, table, written
+from swathkit.llm.common import fresh_names, prepare, table, written
 from swathkit.llm.tokens import vocabulary
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """docs without the rows (doc_id, text_hash) of dropped."""
-    out = dropped.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    of_id, of_hash = fresh_names(docs, "dropped_id", "dropped_hash")
+    out = dropped.select(F.col("doc_id").alias(of_id), F.col("text_hash").alias(of_hash)).distinct()
     own = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return docs.join(out, F.col("doc_id").eqNullSafe(F.col("_id")) & (own == F.col("_hash")), "left_anti")
+    return docs.join(out, F.col("doc_id").eqNullSafe(F.col(of_id)) & (own == F.col(of_hash)), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,11 +32,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest doc_id stays."""
+    """Of equal texts the row with the smallest doc_id stays; of rows that share it too, any one."""
     found = written(exact.exact_dedup(docs, text_hash=True).filter("not kept"), "not-kept")
     repeats = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     out = without(docs, found.filter(~repeats))
-    return out if found.filter(repeats).isEmpty() else out.dropDuplicates(["doc_id", "text"])
+    if found.filter(repeats).isEmpty():
+        return out
+    (digest,) = fresh_names(docs, "text_digest")
+    return out.withColumn(digest, exact.text_digest(F.col("text"))).dropDuplicates(["doc_id", digest]).drop(digest)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,6 +67,12 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until df has no such column, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    return [next(x for k in range(len(taken) + 1) if (x := "_" * k + n).lower() not in taken) for n in names]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

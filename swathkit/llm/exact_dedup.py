@@ -26,6 +26,11 @@ def sha256_of(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def text_digest(text: Column) -> Column:
+    """SHA-256 of a text with each run of white space as one space; a null text is empty."""
+    return sha256_of(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), SPACES, " "))
+
+
 def hash_long(digest: Column) -> Column:
     return F.xxhash64(digest)
 
