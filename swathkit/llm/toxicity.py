@@ -2,14 +2,16 @@
 
 Folding: lower case; zero-width characters go; letters of other scripts that look Latin, and full-width forms, become
 Latin; inside a word that has letters on both sides or before it, digits and signs that stand for letters become them.
-The folded text is words between single spaces. Patterns are whole words (" word ") and exception phrases (" word next ",
-" previous word "): a hit inside an exception phrase does not count. A document's score is logistic in its summed
-weight, that sum by length, its number of distinct hits, and its length.
+The folded text is words between single spaces. Entries are whole words (" word ") and stems (" stem", any ending), so
+that inflected forms are found; exception phrases are two words (" word next ", " previous word "): a hit inside one does
+not count. Of several entries at one word the heaviest counts. A document's score is logistic in the weight of its distinct
+hits, that weight by length, the numbers of hits, the heaviest, and its length.
 
-Learning (training rows alone, at most MAX_TRAIN of them, by a hash of the id): words of toxic texts, counted on the
-executors, give at most MAX_TERMS candidates; these are counted in all sampled texts of one part, and a term whose
-documents are toxic far more often than the rest gets its log-odds as weight. Phrases with a term that are clean get
-exceptions. The other part of the sample fits the logistic scale, so it never sees terms learned from its own texts.
+Learning (training rows alone, at most MAX_TRAIN of them, by a hash of the id; equal texts count once): words and stems of
+toxic texts, counted on the executors, give at most MAX_TERMS candidates; these are counted in all sampled texts, by part.
+A term's weight is its log-odds of being toxic above the usual, less a standard error. Phrases with a term that are clean
+get exceptions. The logistic scale is fitted across PARTS parts: each part's texts are measured with the lexicon of the
+other parts' counts, so no text is measured with terms learned from it.
 
 Defined results: null and empty texts have no hits and the score that goes with none. Rows without a doc_id are scored and
 are not held out. Without training labels of both kinds the built-in lexicon is empty and the score is 0. Repeated rows
@@ -21,7 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -31,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swathkit.llm.common import documents, prepare, table
+from swathkit.llm.common import documents, prepare, table, written
 from swathkit.llm.labelled import held_out, sample_of_labels, training_labels, with_text
 
-MAX_TRAIN, MAX_TERMS, LEAST_DOCS, LEAST_WEIGHT = 16_000, 20_000, 3, 2.0
-FIT_PART = 0.3  # of the sample, for the logistic scale
+MAX_TRAIN, MAX_TERMS, LEAST_DOCS, LEAST_WEIGHT, PARTS = 16_000, 100_000, 3, 2.0, 4
+STEM = (3, 8)  # letters of a stem; the word has more
 THRESHOLD, FOLDS, HELD_OUT = 0.7, 3, 1
 
 _LOOKALIKE = "аaеeоoрpсcуyхxіiјjѕsһhԁdԛqԝwвbкkмmнhтtьbзeгrпnαaβbγyεeηnιiκkνvοoρpτtυuχxωwⅰiⅼlɡgıi"
@@ -57,7 +59,7 @@ def fold(text: str) -> str:
 
 @dataclass
 class Lexicon:
-    """Weights by word, and exception phrases (folded, words between single spaces)."""
+    """Weights by word or stem ("stem*"), and exception phrases (folded, words between single spaces)."""
 
     weights: dict[str, float] = field(default_factory=dict)
     exceptions: tuple[str, ...] = ()
@@ -72,29 +74,36 @@ class Lexicon:
         self.__dict__.update(state, automaton=None)
 
     def hits(self, folded: str) -> list[tuple[str, float]]:
-        """Words found outside exception phrases, with their weights."""
+        """The heaviest entry at each word outside exception phrases, with its weight."""
         if self.automaton is None:
             self.automaton = ahocorasick.Automaton()
             for w, x in self.weights.items():
-                self.automaton.add_word(f" {w} ", (w, x))
+                pattern = f" {w[:-1]}" if w.endswith("*") else f" {w} "
+                self.automaton.add_word(pattern, (w, x, len(pattern)))
             for phrase in self.exceptions:
-                self.automaton.add_word(f" {phrase} ", (phrase, None))
+                self.automaton.add_word(f" {phrase} ", (phrase, None, len(phrase) + 2))
             if len(self.automaton):
                 self.automaton.make_automaton()
         if not len(self.automaton):
             return []
-        found, spared = [], []
-        for end, (w, x) in self.automaton.iter(folded):
-            (spared if x is None else found).append((end - len(w) - 1, end, w, x))
-        return [(w, x) for a, b, w, x in found if not any(c <= a and b <= d for c, d, _, _ in spared)]
+        found: dict[int, tuple[str, float]] = {}
+        spared: set[int] = set()
+        for end, (w, x, size) in self.automaton.iter(folded):
+            at = end - size + 1
+            if x is None:
+                spared.update((at, at + w.index(" ") + 1))
+            elif at not in found or x > found[at][1]:
+                found[at] = w, x
+        return [hit for at, hit in found.items() if at not in spared]
 
 
 def numbers(folded: str, lexicon: Lexicon) -> list[float]:
     hits = lexicon.hits(folded)
     n = max(folded.count(" ") - 1, 1)
-    total = sum(x for _, x in hits)
+    distinct = dict(hits)
+    total = sum(distinct.values())
     rate = 100 * total / n
-    return [math.log1p(total), math.log1p(rate), math.log1p(len({w for w, _ in hits})), math.log1p(len(hits)), math.log1p(n), float(bool(hits)), math.log1p(total) * math.log1p(rate)]
+    return [math.log1p(total), math.log1p(rate), math.log1p(len(distinct)), math.log1p(len(hits)), math.log1p(n), float(bool(hits)), max(distinct.values(), default=0.0), math.log1p(total) * math.log1p(rate)]
 
 
 def fit_scale(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarray:
@@ -113,28 +122,41 @@ def fit_scale(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarray:
 
 
 def candidates_of(folded: str) -> set[str]:
-    return {w for w in folded.split() if len(w) >= 3}
+    """Words of three letters or more, and stems."""
+    words = set(folded.split())
+    return {w for w in words if len(w) >= 3} | {w[:k] + "*" for w in words for k in range(STEM[0], min(STEM[1], len(w) - 1) + 1)}
 
 
-def phrases_of(folded: str, terms: Iterable[str]) -> set[str]:
-    words, out = folded.split(), set()
-    for k, w in enumerate(words):
-        if w in terms:
-            out.add(" ".join(words[k : k + 2]))
-            if k:
-                out.add(" ".join(words[k - 1 : k + 1]))
-    return {p for p in out if " " in p}
+def phrases_of(folded: str, lexicon: Lexicon) -> set[str]:
+    """Pairs of words in a row of which one is hit."""
+    hit = {w for w, _ in lexicon.hits(folded)}
+    if not hit:
+        return set()
+    words = folded.split()
+    at = [w in hit or any(w[:k] + "*" in hit for k in range(STEM[0], min(STEM[1], len(w) - 1) + 1)) for w in words]
+    return {f"{x} {y}" for x, y, a, b in zip(words, words[1:], at, at[1:], strict=False) if a or b}
 
 
 def weigh(counts: Iterable[tuple[str, int, int]], n: int, n_toxic: int) -> dict[str, float]:
-    """Weights of terms from (term, documents, toxic documents) out of n documents, n_toxic of them toxic."""
-    base = math.log((n_toxic + 1) / (n - n_toxic + 1))
-    out = {}
+    """Weights of terms from (term, documents, toxic documents) out of n documents, n_toxic of them toxic.
+
+    Counts are smoothed by one document of the usual mix. A stem that a single longer entry accounts for is left out.
+    """
+    if not 0 < n_toxic < n:
+        return {}
+    share = n_toxic / n
+    out, toxic_of = {}, {}
     for term, docs, toxic in counts:
-        w = math.log((toxic + 0.5 * n_toxic / n) / (docs - toxic + 0.5 * (1 - n_toxic / n) + 1e-9)) - base
+        a, b = toxic + share, docs - toxic + 1 - share
+        w = math.log(a / b) - math.log(share / (1 - share)) - math.sqrt(1 / a + 1 / b)
         if toxic >= LEAST_DOCS and w >= LEAST_WEIGHT:
-            out[term] = round(min(w, 8.0), 3)
-    return out
+            out[term], toxic_of[term] = round(min(w, 8.0), 3), toxic
+    longer: Counter = Counter()
+    for term, toxic in toxic_of.items():
+        body = term.rstrip("*")
+        for k in range(STEM[0], min(STEM[1], len(body) - 1) + 1):
+            longer[body[:k] + "*"] = max(longer[body[:k] + "*"], toxic)
+    return {t: w for t, w in out.items() if not t.endswith("*") or toxic_of[t] > longer[t]}
 
 
 @dataclass
@@ -150,29 +172,29 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.scale[:-1] + self.scale[-1], -30, 30)))
 
 
-def _counting(terms: frozenset | None, phrases_with: frozenset | None):
+def _counting(find: Callable[[str], set[str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             docs, toxic = Counter(), Counter()
-            for text, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                folded = fold(text.as_py())
-                found = phrases_of(folded, phrases_with) if phrases_with else candidates_of(folded) & terms if terms is not None else candidates_of(folded)
+            for text, y, part in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                found = [(t, part) for t in find(fold(text.as_py()))]
                 docs.update(found)
                 if y:
                     toxic.update(found)
-            yield pa.RecordBatch.from_pydict({"term": pa.array(list(docs), pa.string()), "docs": pa.array(list(docs.values()), pa.int64()), "toxic": pa.array([toxic[t] for t in docs], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"term": pa.array([t for t, _ in docs], pa.string()), "part": pa.array([p for _, p in docs], pa.int32()), "docs": pa.array(list(docs.values()), pa.int64()), "toxic": pa.array([toxic[t] for t in docs], pa.int64())})
 
     return run
 
 
-def _counts(rows: DataFrame, terms: frozenset | None = None, phrases_with: frozenset | None = None) -> DataFrame:
-    return rows.select("text", "y").mapInArrow(_counting(terms, phrases_with), "term string, docs long, toxic long").groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
+def _counts(rows: DataFrame, find: Callable[[str], set[str]], *by: str) -> DataFrame:
+    """Documents and toxic documents of each term (and part)."""
+    return rows.select("text", "y", "part").mapInArrow(_counting(find), "term string, part int, docs long, toxic long").groupBy("term", *by).agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
 
 
-def _numbering(lexicon: Lexicon):
+def _numbering(lexicons: list[Lexicon]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [numbers(fold(t.as_py()), lexicon) for t in b.column(0)]
+            x = [numbers(fold(t.as_py()), lexicons[k]) for t, k in zip(b.column(0), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
 
     return run
@@ -182,26 +204,30 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Lexicon and scale from training rows; at most MAX_TRAIN of them."""
     prepare(docs.sparkSession)
     sample = sample_of_labels(training_labels(labels, "toxic", FOLDS, HELD_OUT), MAX_TRAIN)
-    sample = sample.withColumn("fit", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(1000)) < int(1000 * FIT_PART)).cache()
-    tally = {(r[0], r[1]): r[2] for r in sample.groupBy("fit", "y").count().collect()}
-    n_toxic, n_clean = tally.get((False, 1), 0), tally.get((False, 0), 0)
-    if not n_toxic or not n_clean:
-        sample.unpersist()
+    texts = with_text(docs, sample, id_col, text_col).groupBy("text").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
+    texts = written(texts.withColumn("part", F.pmod(F.xxhash64("text", F.lit("part")), F.lit(PARTS)).cast("int")), "toxicity-sample")
+    size = {k: (0, 0) for k in range(PARTS)} | {r[0]: (r[1], r[2]) for r in texts.groupBy("part").agg(F.count("*"), F.sum("y")).collect()}
+    n, n_toxic = (sum(x[k] for x in size.values()) for k in (0, 1))
+    if not 0 < n_toxic < n:
         return Model(Lexicon(), None)
-    texts = with_text(docs, sample, id_col, text_col)
-    learn = texts.filter("not fit")
-    first = _counts(learn.filter("y = 1")).filter(F.col("toxic") >= LEAST_DOCS).orderBy(F.desc("toxic"), "term").limit(MAX_TERMS)
+    first = _counts(texts.filter("y = 1"), candidates_of).filter(F.col("toxic") >= LEAST_DOCS).orderBy(F.desc("toxic"), "term").limit(MAX_TERMS)
     terms = frozenset(r[0] for r in first.select("term").collect())
-    weights = weigh([tuple(r) for r in _counts(learn, terms=terms).collect()], n_toxic + n_clean, n_toxic)
-    exceptions: tuple[str, ...] = ()
-    if weights:
-        clean = _counts(learn, phrases_with=frozenset(weights)).filter((F.col("docs") >= 5) & (F.col("toxic") * 4 <= F.col("docs")))
-        exceptions = tuple(sorted(r[0] for r in clean.orderBy(F.desc("docs"), "term").limit(MAX_TERMS).select("term").collect()))
-    lexicon = Lexicon(weights, exceptions)
-    got = texts.filter("fit").select("text", "y").mapInArrow(_numbering(lexicon), "x array<double>, y int").collect()
-    sample.unpersist()
-    x, y = np.array([r[0] for r in got], float).reshape(len(got), -1), np.array([r[1] for r in got], float)
-    return Model(lexicon, fit_scale(x, y) if len(got) and 0 < y.sum() < len(y) else None)
+    by_part: dict[str, dict[int, tuple[int, int]]] = {}
+    for term, part, d, t in _counts(texts, lambda folded: candidates_of(folded) & terms, "part").collect():  # at most MAX_TERMS * PARTS
+        by_part.setdefault(term, {})[part] = (d, t)
+    whole = {term: tuple(map(sum, zip(*own.values(), strict=True))) for term, own in by_part.items()}
+    lexicon = Lexicon(weigh(((t, *c) for t, c in whole.items()), n, n_toxic))
+    if lexicon.weights:
+        found = _counts(texts, lambda folded: phrases_of(folded, lexicon)).filter((F.col("docs") >= 5) & (F.col("toxic") * 4 <= F.col("docs")))
+        lexicon.exceptions = tuple(sorted(r[0] for r in found.orderBy(F.desc("docs"), "term").limit(MAX_TERMS).select("term").collect()))
+        lexicon.automaton = None
+    others = []
+    for k in range(PARTS):
+        rest = ((t, c[0] - own.get(k, (0, 0))[0], c[1] - own.get(k, (0, 0))[1]) for t, c in whole.items() for own in [by_part[t]])
+        others.append(Lexicon(weigh(rest, n - size[k][0], n_toxic - size[k][1]), lexicon.exceptions))
+    got = texts.select("text", "y", "part").mapInArrow(_numbering(others), "x array<double>, y int").collect()  # at most MAX_TRAIN
+    y = np.array([r[1] for r in got], float)
+    return Model(lexicon, fit_scale(np.array([r[0] for r in got], float), y))
 
 
 def score_column(text: Column, model: Model) -> Column:
