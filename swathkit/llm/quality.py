@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swathkit.llm.common import documents, prepare, table
+from swathkit.llm.common import documents, prepare, table, written
 from swathkit.llm.labelled import held_out, sample_of_documents, sample_of_labels, training_labels, with_text
 
 MAX_POSITIVE, MAX_UNLABELLED, STEPS, RATE, RIDGE = 12_000, 24_000, 600, 0.05, 1e-4
@@ -113,12 +113,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = training_labels(labels, "quality", FOLDS, HELD_OUT).cache()
     prior = rows.agg(F.avg("y")).first()[0]
     positives = sample_of_labels(rows.filter("y = 1"), MAX_POSITIVE)
-    get = lambda df: np.array([r[0] for r in df.select("text").mapInArrow(_featured, "x array<double>").collect()], float)
-    p = get(with_text(docs, positives, id_col, text_col))
+
+    def get(df: DataFrame, most: int) -> np.ndarray:
+        """Features of at most `most` rows; texts stay where they are, and only the written features are limited."""
+        return np.array([r[0] for r in written(df.select("text").mapInArrow(_featured, "x array<double>"), "quality-sample").limit(most).collect()], float)
+
+    p = get(with_text(docs, positives, id_col, text_col), MAX_POSITIVE)
     rows.unpersist()
     if not len(p):
         return None
-    return fit(p, get(sample_of_documents(docs, MAX_UNLABELLED, id_col, text_col)), prior)
+    return fit(p, get(sample_of_documents(docs, MAX_UNLABELLED, id_col, text_col), MAX_UNLABELLED), prior)
 
 
 def score_column(text: Column, model: tuple | None) -> Column:
