@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -178,8 +179,11 @@ def edges(ring: Column) -> Column:
     return F.zip_with(ring, turned, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
-def convex_contains(ring: Column, p: Column) -> Column:
-    """Whether a convex counter-clockwise ring, an array of vectors, has a point inside."""
+def convex_contains(ring: Column | list[Column], p: Column) -> Column:
+    """Whether a convex counter-clockwise ring has a point inside; an array of vectors, or a list of them (compiled whole)."""
+    if isinstance(ring, list):
+        tests = [side(a, b, p) >= 0 for a, b in zip(ring, [*ring[1:], ring[0]], strict=True)]
+        return reduce(lambda x, y: x & y, tests)
     return F.forall(edges(ring), lambda e: side(e["a"], e["b"], p) >= 0)
 
 
@@ -189,7 +193,8 @@ def convex_intersects(a: Column, b: Column) -> Column:
     return ~apart(a, b) & ~apart(b, a)
 
 
-# Vectorised UDFs over WKT columns.
+# Vectorised UDFs over WKT columns. Predicates count as nondeterministic, so that they stay where a plan puts them: pushed
+# below a join or an aggregation they would run on many more rows.
 
 
 def wkt_intersects(wkt: Column, region: str) -> Column:
@@ -203,7 +208,7 @@ def wkt_intersects(wkt: Column, region: str) -> Column:
             out[at] = meet(rings, query)
         return pd.Series(out)
 
-    return run(wkt)
+    return run.asNondeterministic()(wkt)
 
 
 def wkt_contains(wkt: Column, lon: Column, lat: Column) -> Column:
@@ -216,7 +221,7 @@ def wkt_contains(wkt: Column, lon: Column, lat: Column) -> Column:
             out[at] = winds(rings, points[at])
         return pd.Series(out)
 
-    return run(wkt, lon, lat)
+    return run.asNondeterministic()(wkt, lon, lat)
 
 
 def wkt_area(wkt: Column) -> Column:

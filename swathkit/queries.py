@@ -128,8 +128,12 @@ def intersects_sql(a, b) -> str:
     return " AND ".join(f"NOT ({' AND '.join(f'{side_sql(u, v, p)} < 0' for p in other)})" for one, other in ((a, b), (b, a)) for u, v in zip(one, [*one[1:], one[0]], strict=True))
 
 
+def corner_list() -> list[Column]:
+    return [S.vector(F.col(x), F.col(y)) for x, y in (("west", "south"), ("east", "south"), ("east", "north"), ("west", "north"))]
+
+
 def corners() -> Column:
-    return F.array(*[S.vector(F.col(x), F.col(y)) for x, y in (("west", "south"), ("east", "south"), ("east", "north"), ("west", "north"))])
+    return F.array(*corner_list())
 
 
 REGION = [(-19.5, 39.5), (13.5, 39.5), (12.5, 64.5), (-20.5, 60.5)]
@@ -205,7 +209,7 @@ def limit_topk(spark, d):
 
 @query("region_contains_point", f"{PRODUCTS_SQL}, {CORNERED} SELECT path FROM g WHERE {contains_sql(NAMES, vec_sql('10.5', '42.5'))}")
 def region_contains_point(spark, d):
-    return products(spark, d).filter(S.convex_contains(corners(), S.vector(F.lit(10.5), F.lit(42.5)))).select("path")
+    return products(spark, d).filter(S.convex_contains(corner_list(), S.vector(F.lit(10.5), F.lit(42.5)))).select("path")
 
 
 @query("region_contains_point_general", ORACLE_SQL["region_contains_point"])
