@@ -20,6 +20,7 @@ from swathkit.functions.times import MINUTE_MS, end_minute, start_minute
 
 BUCKET = 1440  # minutes
 MAX_BUCKETS = 64
+EVERYWHERE = -(1 << 40)  # the bucket of products that meet windows on the cell alone
 
 
 def windows(points: DataFrame, what) -> DataFrame:
@@ -67,21 +68,22 @@ def candidates(products: DataFrame, points: DataFrame, what, level: int = C.DEFA
     late = F.when(F.col("timed") | F.lit(not what.start_only), F.col("end_min")).otherwise(F.col("start_min")) >= F.col("lo")
     early = F.coalesce(F.col("start_min") < F.col("hi"), F.lit(True))
     out = ["path", "start_min", "ingest_seq", "wkt", "rec_id", "lon", "lat"]
-    none = p.filter(F.col("start_min").isNull()).join(w, "cell").select(*out)
     dated = p.filter(F.col("start_min").isNotNull())
     reference = what.time_rule == "reference"
-    # products that start within the window (or, by overlap, meet it)
+    # products that start within the window (or, by overlap, meet it); those without times meet all
     ends = "start_min" if reference else "end_min"
-    span = F.floor(F.col(ends) / BUCKET) - F.floor(F.col("start_min") / BUCKET)
-    closed = F.col("lo").isNotNull() & F.col("hi").isNotNull()
-    short_w = closed & (F.floor(F.col("hi") / BUCKET) - F.floor(F.col("lo") / BUCKET) <= MAX_BUCKETS)
-    buckets = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / BUCKET), F.floor(F.greatest(a, b) / BUCKET)))
-    meets = early & late & (F.coalesce(F.col("start_min") >= F.col("lo"), F.lit(True)) if reference else F.lit(True))
-    short_p = dated.filter(span <= MAX_BUCKETS).withColumn("bucket", buckets("start_min", ends))
-    joined = short_p.join(w.filter(short_w).withColumn("bucket", buckets("lo", "hi")), ["cell", "bucket"]).filter(meets).select(*out)
-    wide = dated.join(w.filter(~short_w), "cell").filter(early & F.coalesce(late, F.lit(True)) & (F.coalesce(F.col("start_min") >= F.col("lo"), F.lit(True)) if reference else F.lit(True))).select(*out)
-    long = dated.filter(span > MAX_BUCKETS).join(w.filter(short_w), "cell").filter(meets).select(*out)
-    pairs = none.unionByName(joined).unionByName(wide).unionByName(long)
+    day = lambda c: F.floor(F.col(c) / BUCKET)
+    everywhere = F.array(F.lit(EVERYWHERE).cast("long"))
+    far = F.col("start_min").isNull() | (day(ends) - day("start_min") > MAX_BUCKETS)
+    short_w = F.coalesce(day("hi") - day("lo") <= MAX_BUCKETS, F.lit(False))
+    days = lambda x, y: F.sequence(day(x), F.greatest(day(x), day(y)))
+    by_day = p.withColumn("bucket", F.explode(F.when(far, everywhere).otherwise(days("start_min", ends))))
+    asked = w.filter(short_w).withColumn("bucket", F.explode(F.concat(days("lo", "hi"), everywhere)))
+    meets = early & F.coalesce(late, F.lit(True)) & (F.coalesce(F.col("start_min") >= F.col("lo"), F.lit(True)) if reference else F.lit(True))
+    meets = F.col("start_min").isNull() | meets
+    joined = by_day.join(asked, ["cell", "bucket"]).filter(meets).select(*out)
+    wide = p.join(w.filter(~short_w), "cell").filter(meets).select(*out)
+    pairs = joined.unionByName(wide)
     if reference:
         before = predecessors(products, w).join(w, "lo")
         tail = dated.join(before, ["ingest_seq", "cell"]).filter(early & late).select(*out)
