@@ -57,6 +57,24 @@ class Element:
     hidden: bool = False
     number: int = 0
     depth: int = 0
+    # What the tags and names from the page down to this element add up to; kept here, so that depth costs a block nothing.
+    base: float = 0.0
+    good: float = 0.0
+    in_article: bool = False
+    heading: bool = False
+
+    def __post_init__(self) -> None:
+        up = self.parent
+        if up is None:
+            return
+        self.base, self.good, self.in_article, self.heading = up.base, up.good, up.in_article or self.tag in GOOD_TAG, up.heading or self.tag in HEADING
+        self.good = max(self.good, GOOD_TAG.get(self.tag, 0.0))
+        self.base -= 2.0 if self.tag == "header" and self.in_article else BAD_TAG.get(self.tag, 0.0)
+        if self.names and self.tag not in ("html", "body"):
+            if BAD_NAME.search(self.names):
+                self.base -= 12.0
+            elif GOOD_NAME.search(self.names):
+                self.good = max(self.good, 4.0)
 
 
 @dataclass
@@ -156,39 +174,19 @@ def blocks_of(html: str) -> list[Block]:
 
 def balance(b: Block) -> float:
     """The classifier's score of a block: above zero for content."""
-    s, e, in_article, good, names_left = 0.0, b.element, False, 0.0, 6
-    heading = False
-    chain = []
-    while e.parent:
-        chain.append(e)
-        e = e.parent
-    for e in reversed(chain):  # from the page down
-        if e.tag in GOOD_TAG:
-            good = max(good, GOOD_TAG[e.tag])
-            in_article = True
-        if e.tag in HEADING:
-            heading = True
-        if e.tag == "header" and in_article:
-            s -= 2.0
-        else:
-            s -= BAD_TAG.get(e.tag, 0.0)
-        if e.names and names_left and e.tag not in ("html", "body"):
-            names_left -= 1
-            if BAD_NAME.search(e.names):
-                s -= 12.0
-            elif GOOD_NAME.search(e.names):
-                good = max(good, 4.0)
+    e = b.element
+    s = e.base
     n = len(b.text)
     density = min(1.0, b.link_chars / n)
-    s += good - 5.0 * density * (1.0 if n < 400 else 0.5)
-    if heading:
-        s += 2.0 if in_article else 0.5
+    s += e.good - 5.0 * density * (1.0 if n < 400 else 0.5)
+    if e.heading:
+        s += 2.0 if e.in_article else 0.5
     s += 2.0 if n >= 200 else 1.0 if n >= 80 else 0.0 if n >= 30 else -0.5
     if b.text[-1] in ".!?…\"”»" and n >= 20:
         s += 0.7
-    if b.element.tag in ("p", "blockquote", "pre"):
+    if e.tag in ("p", "blockquote", "pre"):
         s += 1.0
-    elif b.element.tag == "#page":
+    elif e.tag == "#page":
         s += 1.5
     if re.match(r"(?:©|\(c\)|copyright\b|all rights reserved)", b.text, re.IGNORECASE):
         s -= 6.0

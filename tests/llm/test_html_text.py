@@ -51,3 +51,23 @@ def test_cut_is_minimal():
         edges = [(a, b, r.randint(0, 200) / 100) for a, b in ((r.randrange(n), r.randrange(n)) for _ in range(r.randint(0, 12))) if a != b]
         cost = lambda keep: sum(abs(s) for s, k in zip(scores, keep, strict=True) if (s > 0) != k and s) + sum(w for a, b, w in edges if keep[a] != keep[b])  # noqa: B023, E731
         assert abs(cost(H.min_cut(scores, edges)) - min(cost(k) for k in product((False, True), repeat=n))) < 1e-6
+
+
+WRAPPERS = ["page", "wrap", "outer", "container", "row", "primary", "column"]
+
+
+def wrapped(inside: str, levels: int) -> str:
+    return "".join(f'<div id="{x}">' for x in WRAPPERS[:levels]) + inside + "</div>" * levels
+
+
+def test_names_count_at_any_depth():
+    article = f'<div class="entry"><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div>'
+    for name in ("comments", "related", "share", "advert", "sidebar", "cookie-notice"):
+        for levels in range(8):
+            page = wrapped(f'{article}<div class="{name}"><p>Some more words. {PARAGRAPH}</p></div>', levels)
+            assert H.main_text(page) == f"{PARAGRAPH} {PARAGRAPH}", (name, levels)
+    for name in ("comments", "entry"):  # bad and good names weigh the same below seven named wrappers as below none
+        shallow, deep = (H.blocks_of(wrapped(f'<div class="{name}"><p>{PARAGRAPH}</p></div>', levels)) for levels in (0, 7))
+        assert H.balance(deep[0]) == H.balance(shallow[0]) and H.balance(deep[0]) != H.balance(H.blocks_of(f"<div><p>{PARAGRAPH}</p></div>")[0])
+    many = wrapped('<div class="row">' * 500 + f'<div class="sidebar"><p>{PARAGRAPH}</p></div>' + "</div>" * 500, 7)
+    assert H.main_text(article + many) == f"{PARAGRAPH} {PARAGRAPH}"
