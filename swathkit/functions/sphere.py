@@ -137,27 +137,33 @@ def intersects(a: np.ndarray, b: np.ndarray) -> bool:
 
 def bounds(ring: np.ndarray) -> tuple[float, float, float, float]:
     """lat_lo, lat_hi, lng_lo, lng_hi in degrees; edges bulge toward the poles, a ring round a pole spans all longitudes, and lng_lo > lng_hi crosses the antimeridian."""
-    lat = np.degrees(np.arcsin(np.clip(ring[:, 2], -1, 1)))
-    lo, hi = lat.min(), lat.max()
-    nxt = np.roll(ring, -1, axis=0)
-    n = np.cross(ring, nxt)
-    size = np.linalg.norm(n, axis=1)
-    for k in np.flatnonzero(size > 1e-15):
-        m = n[k] / size[k]
-        top = np.array([-m[0] * m[2], -m[1] * m[2], 1 - m[2] ** 2])  # highest point of the great circle
-        if np.linalg.norm(top) > 1e-12:
-            top /= np.linalg.norm(top)
-            for t, sign in ((top, 1), (-top, -1)):
-                if np.cross(ring[k], t) @ m > 0 and np.cross(t, nxt[k]) @ m > 0:
-                    d = float(np.degrees(np.arcsin(np.clip(t[2], -1, 1))))
-                    lo, hi = (lo, max(hi, d)) if sign > 0 else (min(lo, d), hi)
-    poles = contains(ring, np.array([[0.0, 0, 1], [0, 0, -1]]))
-    if poles.any():
-        return (-90.0 if poles[1] else float(lo), 90.0 if poles[0] else float(hi), -180.0, 180.0)
-    lng = np.sort(np.degrees(np.arctan2(ring[:, 1], ring[:, 0])))
-    gaps = np.diff(np.concatenate([lng, lng[:1] + 360]))
-    k = int(gaps.argmax())
-    return float(lo), float(hi), float(lng[(k + 1) % len(lng)]), float(lng[k])
+    return tuple(many_bounds(ring[None])[0].tolist())
+
+
+def many_bounds(rings: np.ndarray) -> np.ndarray:
+    """bounds() of many rings with as many vertices, one row each."""
+    degrees = lambda z: np.degrees(np.arcsin(np.clip(z, -1, 1)))
+    dot = lambda u, v: (u * v).sum(axis=-1)
+    lat = degrees(rings[..., 2])
+    lo, hi = lat.min(axis=1), lat.max(axis=1)
+    nxt = np.roll(rings, -1, axis=1)
+    m = np.cross(rings, nxt)
+    size = np.linalg.norm(m, axis=-1)
+    m = m / np.maximum(size, 1e-15)[..., None]
+    top = np.stack([-m[..., 0] * m[..., 2], -m[..., 1] * m[..., 2], 1 - m[..., 2] ** 2], axis=-1)  # highest points of the great circles
+    high = np.linalg.norm(top, axis=-1)
+    top = top / np.maximum(high, 1e-12)[..., None]
+    for sign in (1, -1):
+        t = sign * top
+        on = (size > 1e-15) & (high > 1e-12) & (dot(np.cross(rings, t), m) > 0) & (dot(np.cross(t, nxt), m) > 0)
+        d = degrees(t[..., 2])
+        lo, hi = (lo, np.maximum(hi, np.where(on, d, -90).max(axis=1))) if sign > 0 else (np.minimum(lo, np.where(on, d, 90).min(axis=1)), hi)
+    north, south = (winds(rings, np.broadcast_to([0.0, 0.0, z], (len(rings), 3))) for z in (1.0, -1.0))
+    lng = np.sort(np.degrees(np.arctan2(rings[..., 1], rings[..., 0])), axis=1)
+    k = np.diff(np.concatenate([lng, lng[:, :1] + 360], axis=1), axis=1).argmax(axis=1)
+    row, polar = np.arange(len(rings)), north | south
+    west, east = lng[row, (k + 1) % lng.shape[1]], lng[row, k]
+    return np.stack([np.where(south, -90.0, lo), np.where(north, 90.0, hi), np.where(polar, -180.0, west), np.where(polar, 180.0, east)], axis=1)
 
 
 # Native column forms. A vector is a struct(x, y, z).
@@ -240,6 +246,11 @@ def wkt_bounds(wkt: Column) -> Column:
 
     @F.pandas_udf("lat_lo double, lat_hi double, lng_lo double, lng_hi double")
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(None,) * 4 if t is None else bounds(ring_of(t)) for t in texts], columns=["lat_lo", "lat_hi", "lng_lo", "lng_hi"], dtype="float64")
+        out, own = np.full((len(texts), 4), np.nan), texts.tolist()
+        for at, rings in by_vertices(own):
+            out[at] = many_bounds(rings)
+            for k in at[(np.abs(rings - np.roll(rings, 1, axis=1)).sum(axis=-1) <= 1e-15).any(axis=1)]:  # one place by two names
+                out[k] = bounds(ring_of(own[k]))
+        return pd.DataFrame(out, columns=["lat_lo", "lat_hi", "lng_lo", "lng_hi"])
 
     return run(wkt)

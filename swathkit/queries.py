@@ -264,7 +264,7 @@ def point_cells(spark, d):
 
 @query("footprint_coverings")
 def footprint_coverings(spark, d):
-    return products(spark, d).filter("start_min IS NULL").select("path", C.wkt_covering(F.col("wkt")).alias("cells"))
+    return products(spark, d).select("path", C.wkt_covering(F.col("wkt")).alias("cells"))
 
 
 COVER_SQL = "SELECT o_orderkey, [(o_orderkey % 50) * 2 + 1, (o_orderkey % 31) * 2 + 1, (o_orderkey % 13) * 4 + 2] AS a, [(o_custkey % 50) * 2 + 1, (o_custkey % 17) * 8 + 4] AS b FROM orders"
@@ -412,7 +412,7 @@ def measurement_pivot(spark, d):
 
 @query("footprint_bounds")
 def footprint_bounds(spark, d):
-    return with_geometry(products(spark, d).filter("start_min IS NULL").select("path", "start_min", "end_min", "wkt", "ingest_seq"))
+    return with_geometry(products(spark, d).select("path", "start_min", "end_min", "wkt", "ingest_seq"))
 
 
 @query("counts", f"{PRODUCTS_SQL} SELECT count(*) AS products, count(start_min) AS timed FROM p")
