@@ -7,6 +7,7 @@ needed, never smaller: they only prune. Fixed levels make overlap an equality, t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -14,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from swathkit.functions.sphere import by_vertices, caps, contains, ring_of, winds, xyz
+from swathkit.functions.sphere import areas, by_vertices, caps, contains, ring_of, winds, xyz
 
 MAX_LEVEL, INT_LEVEL, DEFAULT_LEVEL = 30, 13, 4
 POSITION_TO_IJ = ((0, 1, 3, 2), (0, 2, 3, 1), (3, 2, 0, 1), (3, 1, 0, 2))
@@ -90,7 +91,8 @@ def distance(points: np.ndarray, ring: np.ndarray) -> np.ndarray:
     nxt = np.roll(ring, -1, axis=0)
     n = np.cross(ring, nxt)
     size = np.linalg.norm(n, axis=1)
-    ends = np.arccos(np.clip(points @ ring.T, -1, 1)).min(axis=1)
+    chord = np.min([np.linalg.norm(points - q, axis=1) for q in ring], axis=0)
+    ends = 2 * np.arcsin(np.clip(chord / 2, 0, 1))  # unlike an arccos, also exact for small angles
     for k in np.flatnonzero(size > 1e-15):
         m = n[k] / size[k]
         foot = np.cross(m, np.cross(points, m))
@@ -142,6 +144,52 @@ def interior(ring: np.ndarray, level: int = DEFAULT_LEVEL) -> list[int]:
     return sorted(ids[contains(ring, centre) & (distance(centre, ring) > radius)].tolist())
 
 
+def union_size(parts: dict[int, np.ndarray]) -> int:
+    """Number of cells (face, i, j by level) after each four of one parent are replaced by it."""
+    n, merged = 0, np.empty((0, 3), np.int64)
+    for level in range(max(parts, default=0), -1, -1):
+        cells = np.concatenate([merged, parts.get(level, merged[:0])])
+        if not level:
+            return n + len(cells)
+        up, count = np.unique(cells // [1, 2, 2], axis=0, return_counts=True)
+        n += int(count[count < 4].sum())
+        merged = up[count == 4]
+    return n
+
+
+def refined(ring: np.ndarray, last: int) -> Iterator[tuple[int, float, int, int, int, int]]:
+    """Level, exact area, union_size and number of cells of covering(), and both of interior(), for levels 0 to last.
+
+    Only cells near the ring's edges are refined. A cell with its centre inside and no edge within twice its radius is kept
+    whole: all cells below it are in covering() and interior(). One outside, as far from the edges, has none below it.
+    """
+    cells = np.array([(f, 0, 0) for f in range(6)], np.int64)
+    whole: dict[int, np.ndarray] = {}
+    whole_area, whole_n = 0.0, 0
+    for level in range(last + 1):
+        cover, inner, settled, near, area, new_area = [], [], [], [], 0.0, 0.0
+        for part in np.array_split(cells, max(1, len(cells) * len(ring) // 500_000)):
+            face, i, j = part.T
+            at = lambda a, b: uv_xyz(face, st_to_uv((i + a) / (1 << level)), st_to_uv((j + b) / (1 << level)))  # noqa: B023, E731
+            centre, corners = at(0.5, 0.5), np.stack([at(0.0, 0.0), at(1.0, 0.0), at(1.0, 1.0), at(0.0, 1.0)], axis=1)
+            radius = 2 * np.arcsin(np.linalg.norm(corners - centre[:, None], axis=-1).max(axis=1) / 2) + 1e-9
+            inside, away = contains(ring, centre), distance(centre, ring)
+            covers, edge = inside | (away <= radius), away <= 2 * radius
+            size = np.where(covers, areas(corners), 0.0)
+            area += float(size.sum())
+            new_area += float(size[inside & ~edge].sum())
+            cover.append(part[covers])
+            inner.append(part[inside & (away > radius)])
+            settled.append(part[inside & ~edge])
+            near.append(part[edge])
+        new = np.concatenate(settled)
+        covered, within = np.concatenate(cover), np.concatenate(inner)
+        yield level, whole_area + area, union_size({**whole, level: covered}), whole_n + len(covered), union_size({**whole, level: within}), whole_n + len(within)
+        whole[level], whole_n, whole_area = new, 4 * (whole_n + len(new)), whole_area + new_area
+        edge_cells = np.concatenate(near)
+        cells = np.concatenate([edge_cells * [1, 2, 2] + [0, a, b] for a in (0, 1) for b in (0, 1)])
+
+
 def cell_area(level: int = DEFAULT_LEVEL) -> float:
     return 4 * np.pi / (6 * 4**level)
 

@@ -11,9 +11,16 @@ from swathkit.functions import cells as C
 from swathkit.functions.sphere import area, ring_of
 
 
-def footprint_levels(products: DataFrame, levels: range = range(8)) -> DataFrame:
-    """path, level, area, cells, cover_area, ratio, interior_cells, bytes (four a cell) of each footprint at each level."""
-    fields = "path string, level int, area double, cells int, cover_area double, ratio double, interior_cells int, bytes int"
+LEAST_CELLS = 5  # coverings of so few cells say nothing about a level yet
+
+
+def footprint_levels(products: DataFrame, levels: range = range(20), enough: float = 1.05) -> DataFrame:
+    """path, level, area, cells, cover_area, ratio, interior_cells, bytes, denorm_cells, denorm_interior_cells of each footprint by level.
+
+    cells counts a covering whose cells, four of one parent, are merged (bytes: four a cell); denorm_cells those of the level
+    itself. Levels go on to the first with more than LEAST_CELLS cells and a ratio below `enough`, that one included.
+    """
+    fields = "path string, level int, area double, cells long, cover_area double, ratio double, interior_cells long, bytes long, denorm_cells long, denorm_interior_cells long"
 
     def run(batches):
         for pdf in batches:
@@ -21,10 +28,12 @@ def footprint_levels(products: DataFrame, levels: range = range(8)) -> DataFrame
             for path, wkt in zip(pdf["path"], pdf["wkt"], strict=True):
                 ring = ring_of(wkt)
                 a = area(ring)
-                for level in levels:
-                    cover, inner = C.covering(ring, level), C.interior(ring, level)
-                    whole = len(cover) * C.cell_area(level)
-                    out.append((path, level, a, len(cover), whole, whole / a if a else np.inf, len(inner), 4 * len(cover)))
+                for level, whole, n, flat, inner, flat_inner in C.refined(ring, max(levels, default=-1)):
+                    ratio = whole / a if a else np.inf
+                    if level in levels:
+                        out.append((path, level, a, n, whole, ratio, inner, 4 * n, flat, flat_inner))
+                    if level >= levels[0] and n > LEAST_CELLS and ratio < enough:
+                        break
             yield pd.DataFrame(out, columns=[x.split(" ")[0] for x in fields.split(", ")])
 
     return products.select("path", "wkt").mapInPandas(run, fields)
@@ -51,11 +60,11 @@ def until_ratio(rows: DataFrame, below: float = 1.2) -> DataFrame:
 
 
 def storage_levels(rows: DataFrame, most: float = 2.0, enough: float = 1.05) -> DataFrame:
-    """Each footprint's levels worth storing: up to the first where the size stays or the ratio is below `enough`, without ratios over `most`."""
+    """Each footprint's levels worth storing: those before the first of more than LEAST_CELLS cells where the size stays or the ratio is below `enough`, without ratios over `most`."""
     w = Window.partitionBy("path").orderBy("level")
-    flagged = rows.withColumn("_ends", (F.col("bytes") == F.lag("bytes").over(w)) | (F.col("ratio") < enough))
+    ends = (F.col("bytes") > 4 * LEAST_CELLS) & ((F.col("bytes") == F.lag("bytes").over(w)) | (F.col("ratio") < enough))
     stop = F.min(F.when(F.col("_ends"), F.col("level"))).over(Window.partitionBy("path"))
-    return flagged.withColumn("_stop", stop).filter((F.col("_stop").isNull() | (F.col("level") <= F.col("_stop"))) & (F.col("ratio") <= most)).drop("_ends", "_stop")
+    return rows.withColumn("_ends", ends).withColumn("_stop", stop).filter((F.col("_stop").isNull() | (F.col("level") < F.col("_stop"))) & (F.col("ratio") <= most)).drop("_ends", "_stop")
 
 
 def measurement_table(rows: DataFrame, engines: list[str] | None = None) -> DataFrame:
