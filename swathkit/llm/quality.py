@@ -46,11 +46,9 @@ def features(text: str) -> list[float]:
     if not n:
         return [0.0] * N_FEATURES
     counts = Counter(words)
-    letters = sum(map(str.isalpha, (c for c in text))) if chars < 2000 else None
+    letters = sum(map(str.isalpha, text))
     raw = text.encode()
     upper, digits, symbols = len(UPPER.findall(text)), len(DIGIT.findall(text)), len(SYMBOL.findall(text))
-    if letters is None:
-        letters = len(re.findall(r"[^\W\d_]", text))
     lines = [x for x in text.split("\n") if x.strip()]
     distinct_lines = len(set(lines))
     same = sum(a == b for a, b in zip(words, words[1:], strict=False))

@@ -86,3 +86,11 @@ def test_length_counts():
     lex = T.Lexicon({"foul": 3.0})
     short, long = (T.numbers(T.fold("foul " + "word " * n), lex) for n in (5, 500))
     assert short[0] == long[0] and short[1] > long[1]
+
+
+def test_letters_are_counted_alike_at_every_length():
+    unit = "Ab ½ x² Ⅳ ① é 中 9_ "
+    for times in (1, 99, 100, 101, 1000):
+        text = unit * times
+        share, upper = Q.features(text)[:2]
+        assert share == 5 / len(unit) and upper == 1 / 5
