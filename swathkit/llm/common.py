@@ -21,11 +21,12 @@ ARROW_ROWS = 1000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, and bound the rows of an Arrow batch (texts can be long)."""
+    """Let Python workers import this package, and bound the rows of an Arrow batch and of a Parquet reader's (texts can be long)."""
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(ARROW_ROWS))
     return spark
 
 

@@ -98,7 +98,7 @@ def pieces(start: int, n: int, full: int, tail: list[int], size: int = SIZE) ->
 def _encoding(vocab: str, kind: str, dtype: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(vocab, kind, dtype), np.asarray(end_id, dtype).tobytes()
-        table = directions(enc.tokenizer.get_vocab_size())
+        table = directions(enc.n_ids)
         rid = TaskContext.get().partitionId() << 33
         for b in batches:
             raw = [enc.encode(t.as_py()) for t in b.column(1)]

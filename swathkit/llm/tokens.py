@@ -1,10 +1,10 @@
 """Token ids as the tokenizers library gives them, at several times its speed.
 
-A text is cut at single spaces, where both supported kinds of pre-tokenizer always cut too, so the ids of the parts joined
-are the ids of the text. Parts seen before come from a bounded cache. A new part of common characters is split by the
-pre-tokenizer's pattern and merged by tiktoken's byte-pair core, loaded with the merges of the same file; any other part
-goes to the tokenizers library, and so does a whole text for which the cut is not safe (white space next to a space, or
-the string of a special token). Tests hold the ids against the tokenizers library's own.
+Text of common characters is merged by tiktoken's byte-pair core, which is loaded with the merges of the same file: whole
+for a byte-level vocabulary, word by word for one with word ends, whose words come from a cache bounded in entries and in
+bytes. Words with other characters go to the tokenizers library: a text is cut for it at single spaces, where both supported
+kinds of pre-tokenizer always cut too. A text for which that is not safe (white space next to white space, control
+characters, or the string of a special token) goes there whole. Tests hold the ids against the tokenizers library's own.
 """
 
 from __future__ import annotations
@@ -12,26 +12,25 @@ from __future__ import annotations
 import json
 import os
 import re
+from functools import cached_property
+from itertools import groupby
 
 import numpy as np
 import regex
 
-CACHE_PARTS = 400_000  # of a generation; when it is full it replaces the one before: about 120 MB a worker
-END = b"\xff"  # stands for an end-of-word suffix: never a byte of UTF-8
 COMMON = "ɐ"  # below: characters that normalisation to NFC leaves alone and that have plain lower-case forms ...
 ODD = "İ"  # ... but for this one
-PATTERNS = {
-    "byte": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
-    "word": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
-}
+SPACES = ("  ", "\n\n", "\n ", " \n", "\t", "\r", "\x0b", "\x0c", "\x85", "\xa0")  # a text with one of them may have white space in a row
+CONTROL = re.compile("[\x00-\x08\x0e-\x1f]")
+TEXT, RUNS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|", r"\s+(?!\S)|\s+"
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+CACHE_WORDS = 400_000  # of a generation; when it is full it replaces the one before
+CACHE_WORD = 64  # the longest word that is kept, in characters; with CACHE_WORDS, some 160 MB a worker at most
+END = b"\xff"  # stands for an end-of-word suffix: never a byte of UTF-8
 
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-class Unsafe(Exception):
-    """The text must be encoded whole."""
-
-
 def byte_letters() -> dict[str, int]:
     """The printable letters by which byte-level vocabularies write bytes."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -39,13 +38,35 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-class Encoder(dict):
-    """Parts and their ids as little-endian bytes; kind is "byte" (a space belongs to the word after it) or "word" (white space is dropped, letters are lower-cased, words end with a suffix)."""
+class Words(dict):
+    """Ids of words of common characters as bytes, by word, for an encoder with word ends."""
 
-    def __init__(self, path: str, kind: str, dtype: str):
+    def __init__(self, encoder: Encoder):
         super().__init__()
+        self.merge, self.code = encoder._core(r".+").encode_single_piece, {r: encoder.ids[r : r + 1].tobytes() for r in encoder.ranks.values()}
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.old.get(word)
+        if out is None:
+            low, code = word.lower(), self.code
+            if low[-1] in ".,!?;:" and low[:-1].isalpha():
+                out = self[word[:-1]] + self[word[-1]]
+            else:
+                out = b"".join([code[r] for x in ([low] if low.isalpha() else PIECES.findall(low)) for r in self.merge(x.encode() + END)])
+        if len(word) <= CACHE_WORD:
+            if len(self) >= CACHE_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[word] = out
+        return out
+
+
+class Encoder:
+    """Ids of texts as little-endian bytes; kind is "byte" (a space belongs to the word after it) or "word" (white space is dropped, letters are lower-cased, words end with a suffix)."""
+
+    def __init__(self, path: str, kind: str, dtype: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import tiktoken
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -53,89 +74,72 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_str(text)
         spec = json.loads(text)
         self.special = re.compile("|".join(re.escape(x["content"]) for x in spec.get("added_tokens", [])) or r"(?!)", re.IGNORECASE)
-        self.kind, self.dtype, self.pattern = kind, np.dtype(dtype), regex.compile(PATTERNS[kind])
-        if self.tokenizer.get_vocab_size() > np.iinfo(self.dtype).max:
+        self.kind, self.dtype, self.n_ids = kind, np.dtype(dtype), self.tokenizer.get_vocab_size()
+        if self.n_ids > np.iinfo(self.dtype).max:
             raise ValueError(f"ids do not fit {dtype}")
         letters, suffix = byte_letters(), spec["model"].get("end_of_word_suffix") or ""
         raw = lambda s: bytes(letters[c] for c in s.removesuffix(suffix)) + (END if suffix and s.endswith(suffix) else b"")
         vocab, merges = spec["model"]["vocab"], [x.split(" ") if isinstance(x, str) else x for x in spec["model"]["merges"]]
-        ranks = {bytes([b]): b for b in range(256)}
-        ids = {b: vocab.get(c) for c, b in letters.items()}
+        self.ranks = {bytes([b]): b for b in range(256)}
+        self.ids = np.zeros(512 + len(merges), self.dtype)  # by rank
+        for c, b in letters.items():
+            self.ids[b] = vocab.get(c) or 0
         if suffix:  # the last byte joins its suffix before anything else
             for c, b in letters.items():
-                ranks[bytes([b]) + END] = r = 256 + b
-                ids[r] = vocab[c + suffix]
+                self.ranks[bytes([b]) + END] = 256 + b
+                self.ids[256 + b] = vocab[c + suffix]
         for k, (a, b) in enumerate(merges):
-            if ranks.setdefault(raw(a) + raw(b), 512 + k) == 512 + k:
-                ids[512 + k] = vocab[a + b]
-        self.end = END if suffix else b""
-        self.old: dict[str, bytes] = {}
-        self.signs: dict[str, bytes] = {}
-        self.line_break = self.whole("\n")
-        self.code = {r: np.asarray(v or 0, self.dtype).tobytes() for r, v in ids.items()}
-        self.merge = tiktoken.Encoding("merges", pat_str=r".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+            if self.ranks.setdefault(raw(a) + raw(b), 512 + k) == 512 + k:
+                self.ids[512 + k] = vocab[a + b]
+
+        self.words = Words(self) if kind == "word" else None
+
+    def _core(self, pattern: str):
+        import tiktoken
+
+        return tiktoken.Encoding("merges", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})._core_bpe
+
+    @cached_property
+    def plain(self):
+        """The core for texts without white space in a row, which need no look-ahead."""
+        return self._core(TEXT + r"\s+").encode_ordinary
+
+    @cached_property
+    def spaced(self):
+        return self._core(TEXT + RUNS).encode_ordinary
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def __missing__(self, part: str) -> bytes:
-        out = self.old.get(part)
-        if out is None:
-            out = self._new(part)
-        if len(self) >= CACHE_PARTS:
-            self.old = dict(self)
-            self.clear()
-        self[part] = out
-        return out
-
-    def _new(self, part: str) -> bytes:
-        body = part[1:] if part[0] == " " else part
+    def _merged(self, text: str, in_a_row: bool) -> bytes:
+        """Ids of text of common characters."""
         if self.kind == "byte":
-            if not body or body[0].isspace() or body[-1].isspace():
-                raise Unsafe
-            if "\n" in part:  # a line break between two other characters is a pre-token by itself
-                lines = part.split("\n")
-                if not all(lines):
-                    raise Unsafe
-                return self.line_break.join([self[x] for x in lines])
-        if not part.isascii() and (max(part) >= COMMON or ODD in part):
-            return self.whole(part)
-        line = part if self.kind == "byte" else part.lower()
-        if body.isalpha():
-            pieces = [line]
-        elif line[-1] in ".,!?;:" and body[:-1].isalpha():
-            known = self.get(part[:-1]) or self.old.get(part[:-1])
-            if known:
-                return known + self.whole_of(line[-1])
-            pieces = [line[:-1], line[-1]]
-        else:
-            pieces = self.pattern.findall(line)
-        code = self.code
-        return b"".join([code[r] for x in pieces for r in self.merge(x.encode() + self.end)])
-
-    def whole_of(self, sign: str) -> bytes:
-        if sign not in self.signs:
-            self.signs[sign] = self.whole(sign)
-        return self.signs[sign]
+            return self.ids[np.array((self.spaced if in_a_row else self.plain)(text), np.uint32)].tobytes()
+        return b"".join([self.words[x] for x in text.replace("\n", " ").split(" ") if x])
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.special.search(text):
+        if self.special.search(text) or CONTROL.search(text):
             return self.whole(text)
-        try:
-            if self.kind == "word":
-                return b"".join([self[x] for x in text.replace("\n", " ").split(" ") if x])
-            first, *rest = text.split(" ")
-            return b"".join([self[first] if first else b"", *map(self.__getitem__, [" " + x for x in rest])])
-        except Unsafe:
+        in_a_row = any(x in text for x in SPACES)
+        if text.isascii() or (max(text) < COMMON and ODD not in text):
+            return self._merged(text, in_a_row)
+        if in_a_row or text[0].isspace() or text[-1].isspace():
             return self.whole(text)
+        out, lead = [], ""
+        for common, parts in groupby(text.split(" "), lambda x: x.isascii() or (max(x) < COMMON and ODD not in x)):
+            run = lead + " ".join(parts)
+            out.append(self._merged(run, False) if common else self.whole(run))
+            lead = " " if self.kind == "byte" else ""
+        return b"".join(out)
 
 
 def encoder(path: str, kind: str, dtype: str = "<u4") -> Encoder:
-    """One encoder a process."""
+    """The process's encoder; it keeps the last one asked for."""
     key = (path, kind, dtype)
     if key not in _ENCODERS:
+        _ENCODERS.clear()
         _ENCODERS[key] = Encoder(*key)
     return _ENCODERS[key]
 
