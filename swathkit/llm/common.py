@@ -41,9 +41,18 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_ROOTS: set[str] = set()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_root(spark)}/swathkit/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's part of the shared folder, which goes when the application ends."""
+    root = f"{shared_root(spark)}/swathkit/{spark.sparkContext.applicationId}"
+    if root not in _ROOTS:
+        fs, p = _at(spark, root)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _ROOTS.add(root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -53,10 +62,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder."""
+def _at(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by written() that nothing reads any more."""
+    for t in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            if "/swathkit/" in folder:
+                fs, p = _at(t.sparkSession, folder)
+                fs.delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,8 +95,8 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def skew_join(rows: DataFrame, per_key: DataFrame, key: str | list[str], n: str, total: int) -> DataFrame:
-    """Inner join of rows with per_key, which has one row a key with the number n of its rows.
+def skew_join(rows: DataFrame, per_key: DataFrame, key: str | list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """Inner or left join of rows with per_key, which has one row a key with the number n of its rows.
 
     Heavy keys (at least total/HEAVY_KEYS rows, so HEAVY_KEYS keys at most) are broadcast and their rows stay where
     they are; all others are light enough for a shuffle join.
@@ -88,23 +105,37 @@ def skew_join(rows: DataFrame, per_key: DataFrame, key: str | list[str], n: str,
     heavy = per_key.filter(F.col(n) >= least)
     light = per_key.filter(F.col(n) < least)
     hot = rows.join(F.broadcast(heavy), key)
-    rest = rows.join(F.broadcast(heavy.select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(light, key)
+    rest = rows.join(F.broadcast(heavy.select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(light, key, how)
     return hot.unionByName(rest)
 
 
-def presence_filter(rows: DataFrame, at: Column, keys: DataFrame, key_at: Column, n_keys: int) -> DataFrame:
-    """rows whose hash `at` may be among keys' hashes `key_at` (both longs); some others pass too.
+def filter_bits(n_keys: int) -> int:
+    """Bits of a filter of so many keys: 8 a key or more."""
+    return max(BITMAP_BITS, 1 << (8 * max(n_keys, 1) - 1).bit_length())
 
-    The broadcast side is a bitmap of 8 bits a key, at most MAX_BITMAP_BITS: beyond that more rows pass, none is lost.
-    """
-    bits = min(max(BITMAP_BITS, 1 << (8 * max(n_keys, 1) - 1).bit_length()), MAX_BITMAP_BITS)
+
+def filter_blocks(keys: DataFrame, key_at: Column, bits: int) -> DataFrame:
+    """A filter of keys' hashes (longs) as a table of bitmaps: _block, _bits."""
     pos = F.pmod(key_at, F.lit(bits).cast("long"))
-    blocks = keys.groupBy((pos / BITMAP_BITS).cast("long").alias("_block")).agg(F.bitmap_construct_agg(F.pmod(pos, F.lit(BITMAP_BITS).cast("long"))).alias("_bits"))
+    return keys.groupBy((pos / BITMAP_BITS).cast("long").alias("_block")).agg(F.bitmap_construct_agg(F.pmod(pos, F.lit(BITMAP_BITS).cast("long"))).alias("_bits"))
+
+
+def with_presence(rows: DataFrame, at: Column, blocks: DataFrame, bits: int, name: str) -> DataFrame:
+    """Adds a boolean: whether the hash `at` may be in filter_blocks(..., bits), which is broadcast, so bits is MAX_BITMAP_BITS at most."""
     mine = F.pmod(at, F.lit(bits).cast("long"))
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(_off div 8 as int) + 1, 1)")), 16, 10).cast("int")
     out = rows.withColumns({"_at": mine}).withColumns({"_block": (F.col("_at") / BITMAP_BITS).cast("long"), "_off": F.pmod("_at", F.lit(BITMAP_BITS).cast("long"))})
-    out = out.join(F.broadcast(blocks), "_block").filter(F.expr("1") == F.call_function("getbit", byte, F.pmod("_off", F.lit(8).cast("long")).cast("int")).cast("int"))
-    return out.drop("_at", "_block", "_off", "_bits")
+    bit = F.call_function("getbit", byte, F.pmod("_off", F.lit(8).cast("long")).cast("int")).cast("int")
+    return out.join(F.broadcast(blocks), "_block", "left").withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop("_at", "_block", "_off", "_bits")
+
+
+def presence_filter(rows: DataFrame, at: Column, keys: DataFrame, key_at: Column, n_keys: int) -> DataFrame:
+    """rows whose hash `at` may be among keys' hashes `key_at` (both longs); some others pass too.
+
+    The broadcast side is a bitmap of 8 bits a key, at most MAX_BITMAP_BITS: beyond that more rows pass, none is lost.
+    """
+    bits = min(filter_bits(n_keys), MAX_BITMAP_BITS)
+    return with_presence(rows, at, filter_blocks(keys, key_at, bits), bits, "_may").filter("_may").drop("_may")
 
 
 def bitmap(keys: DataFrame, at: Column, n_keys: int, bits_each: int = 32) -> np.ndarray:

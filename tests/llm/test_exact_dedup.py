@@ -34,15 +34,27 @@ def test_odd_documents(odd_docs, no_docs):
     assert exact_dedup(no_docs).count() == 0 and exact_dedup(no_docs).columns[:5] == COLUMNS
 
 
-def test_runs_and_compaction_change_nothing(odd_docs, documents, spark):
+def test_the_query_compacts_and_asks_filters(odd_docs, documents, spark, sf_dir):
+    """op4 itself flushes several runs and compacts; more runs change nothing."""
+    index = DigestIndex(spark)
+    assert rows_of(exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), index=index), *COLUMNS) == brute(documents)
+    assert index.compactions == 1 and [len(x) for x in index.levels] == [1, 1]
     docs = spark.createDataFrame(documents, "doc_id long, text string")
-    assert rows_of(exact_dedup(docs, batches=9), *COLUMNS) == brute(documents)
+    assert rows_of(exact_dedup(docs, batches=9), *COLUMNS) == rows_of(exact_dedup(docs, batches=1), *COLUMNS) == brute(documents)
+    index = DigestIndex(spark, fanout=2)
+    assert rows_of(exact_dedup(odd_docs, batches=7, index=index), *COLUMNS) == brute([(d, t) for d, t, _ in TEXTS])
+    assert index.compactions == 4 and [len(x) for x in index.levels] == [1, 1, 1]
+
+
+def test_runs_keep_the_smallest_identifier(spark):
     index = DigestIndex(spark, fanout=2)
     rows = spark.range(40).select((F.col("id") % 5).cast("string").cast("binary").alias("digest"), F.col("id").alias("doc_id"), F.col("id").alias("rid"))
-    for k in range(5):
-        index.append(rows.filter(F.col("doc_id") % 5 == k))
+    once = spark.range(40, 60).select(F.col("id").cast("string").cast("binary").alias("digest"), F.col("id").alias("doc_id"), F.col("id").alias("rid"))
+    for k in (4, 2, 0, 3, 1):
+        index.append(rows.filter(F.floor(F.col("doc_id") / 5) % 5 == k).unionByName(once.filter(F.col("doc_id") % 5 == k)))
     assert [len(x) for x in index.levels] == [1, 0, 1]  # five runs, two to a level
-    assert {(r["first"].doc_id, r.n) for r in index.merged().collect()} == {(k, 8) for k in range(5)}
+    assert {(r["first"].doc_id, r.n) for r in index.hits().collect()} == {(k, 8) for k in range(5)}
+    assert sum(r.rows.count() for r in index.runs) == 30
 
 
 def test_colliding_digests_are_told_apart(odd_docs, spark, documents):
