@@ -32,8 +32,7 @@ def build_search(spark: SparkSession, words: list[str]) -> Search:
     if "wkt" in given:
         what = what.with_region(given["wkt"])
     if "insitu" in given:
-        rows = records(spark, given["insitu"]).select("time_ms", "lon", "lat").collect()  # a query's own point file
-        what = what.with_points(rows).with_delta(HOURS_3)
+        what = what.with_point_table(records(spark, given["insitu"])).with_delta(HOURS_3)
     return what
 
 

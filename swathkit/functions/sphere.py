@@ -8,7 +8,7 @@ fall either way.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -22,20 +22,32 @@ NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 
 
 def read_wkt(wkt: str) -> Ring:
-    """The outer ring of a WKT polygon (or the first of a multipolygon) as (lon, lat), without the closing point."""
+    """The outer ring of a WKT polygon as (lon, lat), without the closing point; anything else, a multipolygon too, is a ValueError."""
     plain = wkt[9:-2] if wkt and wkt.startswith("POLYGON ((") and wkt.endswith("))") else "("
     if "(" not in plain:
         n = [float(x) for x in plain[1:].replace(",", " ").split()]
         if len(n) >= 6 and len(n) == 2 * (plain.count(",") + 1):
             pairs = list(zip(n[::2], n[1::2], strict=True))
             return pairs[:-1] if pairs[0] == pairs[-1] and len(pairs) > 3 else pairs
-    m = re.match(r"\s*(?:MULTI)?POLYGON\s*\(+([^()]*)\)", wkt or "", re.IGNORECASE)
+    m = re.match(r"\s*POLYGON\s*(?:Z\s*)?\(\s*\(([^()]*)\)", wkt or "", re.IGNORECASE)
     pairs = [tuple(map(float, re.findall(NUMBER, p)[:2])) for p in m[1].split(",")] if m else []
     if len(pairs) < 3 or any(len(p) < 2 for p in pairs):
         raise ValueError(f"not a polygon: {wkt!r}")
     return pairs[:-1] if pairs[0] == pairs[-1] else pairs
 
 
+def same_ring(a: Ring, b: Ring) -> bool:
+    """Whether two rings have the same vertices in the same turn, wherever they start."""
+    at = [k for k, p in enumerate(b) if p == a[0]] if len(a) == len(b) else []
+    return any(a == b[k:] + b[:k] for k in at)
+
+
+def same_polygon(a: str, b: str) -> bool:
+    """Whether two WKT polygons are equal: the same ring, in either direction, as the inside is the smaller side."""
+    x, y = read_wkt(a), read_wkt(b)
+    return same_ring(x, y) or same_ring(x, y[::-1])
+
+
 def write_wkt(ring: Ring) -> str:
     return "POLYGON ((" + ", ".join(f"{x:.12g} {y:.12g}" for x, y in [*ring, ring[0]]) + "))"
 
@@ -185,18 +197,23 @@ def edges(ring: Column) -> Column:
     return F.zip_with(ring, turned, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used, which a projection's columns are not."""
+    return F.exists(F.array(value), use)
+
+
 def convex_contains(ring: Column | list[Column], p: Column) -> Column:
-    """Whether a convex counter-clockwise ring has a point inside; an array of vectors, or a list of them (compiled whole)."""
+    """Whether a convex counter-clockwise ring has a point inside; an array of vectors, or a list of them."""
     if isinstance(ring, list):
-        tests = [side(a, b, p) >= 0 for a, b in zip(ring, [*ring[1:], ring[0]], strict=True)]
-        return reduce(lambda x, y: x & y, tests)
-    return F.forall(edges(ring), lambda e: side(e["a"], e["b"], p) >= 0)
+        n = len(ring)
+        return let(F.array(*ring), lambda r: reduce(lambda x, y: x & y, [side(r[k], r[(k + 1) % n], p) >= 0 for k in range(n)]))
+    return let(ring, lambda r: F.forall(edges(r), lambda e: side(e["a"], e["b"], p) >= 0))
 
 
 def convex_intersects(a: Column, b: Column) -> Column:
     """Whether two convex counter-clockwise rings meet: no edge of either has all of the other outside."""
     apart = lambda one, other: F.exists(edges(one), lambda e: F.forall(other, lambda p: side(e["a"], e["b"], p) < 0))
-    return ~apart(a, b) & ~apart(b, a)
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda r: ~apart(r["a"], r["b"]) & ~apart(r["b"], r["a"]))
 
 
 # Vectorised UDFs over WKT columns. Predicates count as nondeterministic, so that they stay where a plan puts them: pushed

@@ -1,15 +1,18 @@
 """Catalogues: versioned Parquet tables of products with safe updates, pending lists, an archive, and dumps.
 
-A catalogue is a folder: v<n>/ (products in start order: path, start_min, end_min, wkt, ingest_seq, cells, bounds), a
-pointer file _current that names the version in use and its settings, pending lists scan.*, and attic/. An update writes a
-new version and then replaces the pointer, so a crash leaves the old version in use and its leftover is overwritten; the two
-newest versions are kept. Products whose path is known are not added again, and of several new ones the first in reading
-order wins.
+A catalogue is a folder: parts v<n>/ (products in start order: path, start_min, end_min, wkt, ingest_seq, cells, bounds), each
+with the settings of version n in v<n>/_version.json; a pointer file _current with those of the version in use; pending lists
+scan.*; and attic/. A version is a list of parts. An update writes what is new as a part; every MAX_PARTS parts it writes all
+as one. Then it replaces the pointer in one step, so a crash leaves the old version in use and its leftover is overwritten.
+If the pointer cannot be read, the newest complete version is used. The parts of the two newest versions are kept. Products
+whose path is known are not added again, and of several new ones the first in reading order wins. The level of cells is the
+catalogue's own: it is set by its first version and read from there.
 """
 
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +25,7 @@ from swathkit.plans.search import UNLIMITED, Search, ordered, search
 from swathkit.sources.files import Files
 from swathkit.sources.products import dump_lines, in_minutes, read_products
 
-FORMAT, POINTER, ATTIC = 1, "_current", "attic"
+FORMAT, POINTER, ATTIC, SETTINGS, MAX_PARTS = 2, "_current", "attic", "_version.json", 8
 SCHEMA = "path string, start_min int, end_min int, wkt string, ingest_seq long, cells array<int>, lat_lo double, lat_hi double, lng_lo double, lng_hi double"
 
 
@@ -32,11 +35,15 @@ def first_by_path(new: DataFrame) -> DataFrame:
     return new.groupBy("path").agg(best.alias("r")).select("r.*")
 
 
+def only_new(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Those of new whose path old does not have, one a path; they follow old ones in ingest_seq."""
+    last = old.agg(F.coalesce(F.max("ingest_seq"), F.lit(-1)).alias("m")).scalar()
+    return first_by_path(new).join(old.select("path"), "path", "left_anti").withColumn("ingest_seq", F.col("ingest_seq") + last + 1)
+
+
 def insert_new(old: DataFrame, new: DataFrame) -> DataFrame:
     """old and those of new whose path old does not have; new rows follow old ones in ingest_seq."""
-    last = old.agg(F.coalesce(F.max("ingest_seq"), F.lit(-1)).alias("m")).scalar()
-    fresh = first_by_path(new).join(old.select("path"), "path", "left_anti").withColumn("ingest_seq", F.col("ingest_seq") + last + 1)
-    return old.unionByName(fresh.select(*old.columns))
+    return old.unionByName(only_new(old, new).select(*old.columns))
 
 
 def with_geometry(products: DataFrame, level: int = C.DEFAULT_LEVEL) -> DataFrame:
@@ -54,22 +61,55 @@ def interned(products: DataFrame) -> tuple[DataFrame, DataFrame]:
 class Catalog:
     """A catalogue in one folder."""
 
-    def __init__(self, spark: SparkSession, folder: str, level: int = C.DEFAULT_LEVEL, use_index: bool = True, pending_prefix: str = "scan.", fail_if_missing: bool = False, keep: int = 2, archive: bool = True, verbose: bool = False):
-        self.spark, self.folder, self.level, self.use_index = spark, folder.rstrip("/"), level, use_index
+    def __init__(self, spark: SparkSession, folder: str, level: int | None = None, use_index: bool = True, pending_prefix: str = "scan.", fail_if_missing: bool = False, keep: int = 2, archive: bool = True, verbose: bool = False):
+        self.spark, self.folder, self.own_level, self.use_index = spark, folder.rstrip("/"), level, use_index
         self.pending_prefix, self.fail_if_missing, self.keep, self.archive_lists, self.verbose = pending_prefix, fail_if_missing, keep, archive, verbose
-        self.files = Files(spark)
+        self.files, self.closed = Files(spark), False
+
+    def __enter__(self) -> Catalog:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Searches and updates are errors from now on."""
+        self.closed = True
+
+    def _check_open(self) -> None:
+        if self.closed:
+            raise RuntimeError(f"the catalogue in {self.folder} is closed")
 
     def _say(self, text: str) -> None:
         if self.verbose:
             print(text)
 
+    def _settings(self, at: str) -> dict | None:
+        """Settings in a file; None if there is none, or if it is cut off."""
+        if not self.files.exists(at):
+            return None
+        try:
+            meta = json.loads(self.files.read(at))
+        except ValueError:
+            return None
+        if not isinstance(meta, dict) or meta.get("format") != FORMAT:
+            raise ValueError(f"{at}: format {meta.get('format') if isinstance(meta, dict) else meta}, not {FORMAT}")
+        return meta
+
+    def _versions(self) -> list[int]:
+        return sorted(int(n[1:]) for n in self.files.names(self.folder, "v") if n[1:].isdigit())
+
     def _pointer(self) -> dict | None:
+        """Settings of the version in use; None for no catalogue."""
         at = f"{self.folder}/{POINTER}"
-        if not self.files.exists(at):
+        if not self.files.exists(at) and not self.files.exists(f"{at}.tmp"):
             return None
-        meta = json.loads(self.files.read(at))
-        if meta.get("format") != FORMAT:
-            raise ValueError(f"{at}: format {meta.get('format')}, not {FORMAT}")
+        meta = self._settings(at)
+        if meta is None:
+            for n in reversed(self._versions()):
+                if self.files.exists(f"{self.folder}/v{n}/_SUCCESS") and (meta := self._settings(f"{self.folder}/v{n}/{SETTINGS}")):
+                    warnings.warn(f"{at} cannot be read; version {n} is used", stacklevel=3)
+                    break
         return meta
 
     @property
@@ -78,14 +118,21 @@ class Catalog:
         meta = self._pointer()
         return meta["version"] if meta else 0
 
+    @property
+    def level(self) -> int:
+        """The level of cells: the catalogue's, or what its first version will have."""
+        meta = self._pointer()
+        return meta["level"] if meta else self.own_level or C.DEFAULT_LEVEL
+
     def products(self) -> DataFrame:
         """The version in use; empty, or FileNotFoundError if fail_if_missing, without one."""
+        self._check_open()
         meta = self._pointer()
         if meta is None:
             if self.fail_if_missing:
                 raise FileNotFoundError(f"no catalogue in {self.folder}")
             return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/v{meta['version']}")
+        return self.spark.read.schema(SCHEMA).parquet(*[f"{self.folder}/v{n}" for n in meta["parts"]])
 
     def size(self) -> int:
         return self.products().count()
@@ -104,24 +151,45 @@ class Catalog:
             return 0
         new = in_minutes(read_products(self.spark, lists))
         n = new.count()
-        if n:
-            self.commit(insert_new(self.products(), with_geometry(new, self.level)))
+        self.insert(new)
         if own or self.archive_lists:
             self.archive(lists)
         self._say(f"{n} products read from {len(lists)} lists")
         return n
 
-    def commit(self, products: DataFrame) -> None:
-        """Write a version in start order and make it the one in use."""
-        version = self.version + 1
+    def insert(self, new: DataFrame) -> int:
+        """Add product rows (as in_minutes gives them) whose path is not known as a new version; returns the version in use."""
+        old, meta = self.products(), self._pointer() or {"version": 0, "parts": [], "level": self.level}
+        if self.own_level not in (None, meta["level"]):
+            raise ValueError(f"the catalogue in {self.folder} has cells of level {meta['level']}, not {self.own_level}")
+        version = meta["version"] + 1
+        names = [f.split(" ")[0] for f in SCHEMA.split(", ")]
+        add = with_geometry(only_new(old, new), meta["level"]).select(*names)
         path = f"{self.folder}/v{version}"
-        rows = products.select(*[f.split(" ")[0] for f in SCHEMA.split(", ")])
+        self._write(add, path)
+        if self.spark.read.schema(SCHEMA).parquet(path).isEmpty() and meta["parts"]:
+            self.files.delete(path)
+            return meta["version"]
+        parts = [*meta["parts"], version]
+        if len(parts) > MAX_PARTS:
+            whole = f"{self.folder}/v{version + 1}"
+            self._write(old.unionByName(self.spark.read.schema(SCHEMA).parquet(path)), whole)
+            self.files.delete(path)
+            version, parts = version + 1, [version + 1]
+        own = {"format": FORMAT, "version": version, "level": meta["level"], "parts": parts}
+        before = [v for v in self._versions() if v < version][-max(self.keep - 1, 0) :] if self.keep > 1 else []
+        needed = {*parts, *[p for v in before for p in (self._settings(f"{self.folder}/v{v}/{SETTINGS}") or {"parts": []})["parts"]]}
+        self.files.write(f"{self.folder}/v{version}/{SETTINGS}", json.dumps(own).encode())
+        self.files.write(f"{self.folder}/{POINTER}", json.dumps(own).encode())
+        for n in self._versions():
+            if n not in needed and n < version:
+                self.files.delete(f"{self.folder}/v{n}")
+        return version
+
+    def _write(self, products: DataFrame, path: str) -> None:
+        """Products in start order."""
         parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        rows.repartitionByRange(parts, F.asc_nulls_first("start_min"), "ingest_seq").sortWithinPartitions(F.asc_nulls_first("start_min"), "ingest_seq").write.mode("overwrite").parquet(path)
-        self.files.write(f"{self.folder}/{POINTER}", json.dumps({"format": FORMAT, "version": version, "level": self.level}).encode())
-        for name in self.files.names(self.folder, "v"):
-            if name[1:].isdigit() and int(name[1:]) <= version - self.keep:
-                self.files.delete(f"{self.folder}/{name}")
+        products.repartitionByRange(parts, F.asc_nulls_first("start_min"), "ingest_seq").sortWithinPartitions(F.asc_nulls_first("start_min"), "ingest_seq").write.mode("overwrite").parquet(path)
 
     def archive(self, lists: Sequence[str], suffix: str = ".csv") -> str:
         """Join lists to one file in the attic and delete them."""
@@ -142,10 +210,12 @@ class Catalog:
         """
         if what is None:
             raise ValueError("no search")
+        self._check_open()
+        level = self.level
         each = what if limit_mode == "per_source" else what.with_limit(UNLIMITED)
         found = None
         for products in self.sources():
-            one = search(products if self.use_index or "cells" not in products.columns else products.drop("cells"), each, self.level).select("path", "start_min")
+            one = search(products if self.use_index or "cells" not in products.columns else products.drop("cells"), each, level).select("path", "start_min")
             found = one if found is None else found.unionByName(one)
         out = found.groupBy("path").agg(F.min("start_min").alias("start_min")).orderBy(F.asc_nulls_first("start_min"), "path")
         return (out.limit(what.limit) if limit_mode == "global" and 0 < what.limit < UNLIMITED else out).select("path")

@@ -2,97 +2,120 @@
 
 Points become windows [floor((t - delta)), ceil((t + delta))] in minutes; a point without a time, or a search without a
 delta, takes each of the search's ranges. Windows that end before a range or start after it are dropped; one that stays
-is used whole. Products and windows meet on (cell, time bucket), an equi-join: products list their cells, and both sides
-the buckets they touch, so neither side is broadcast and a hot place is split by time. A product that spans more than
-MAX_BUCKETS buckets, or has no times, meets points on the cell alone. The product just before a window's start, if none
-starts in that minute, comes from a sorted pass over starts and windows within day partitions. Exact tests come last, and a
-product is found if any of its points is inside.
+is used whole. A window also knows the product just before its start, if none starts in that minute.
+
+Products and windows meet in one equi-join, on a cell and a stretch of time: products list their cells (they are computed
+if they are not stored), and an interval its days, or, if it has more than MAX_BUCKETS, its blocks of BLOCK days, or else
+one stretch for all times. Two of different kinds meet by the coarser one; so each row says what kind of partner it is
+for. What has no bound in time, on either side, is dealt over SALT keys a cell. Neither side is broadcast; a hot place is split
+by time. Exact tests come last, and a product is found if any of its points is inside.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swathkit.functions import cells as C
 from swathkit.functions.sphere import wkt_contains
-from swathkit.functions.times import MINUTE_MS, end_minute, start_minute
+from swathkit.functions.times import end_minute, start_minute
 
-BUCKET = 1440  # minutes
-MAX_BUCKETS = 64
-EVERYWHERE = -(1 << 40)  # the bucket of products that meet windows on the cell alone
+DAY = 1440  # minutes
+BLOCK, MAX_BUCKETS, SALT = 64, 64, 8
+ALWAYS = 2  # kinds: 0 days, 1 blocks, 2 all times
 
 
 def windows(points: DataFrame, what) -> DataFrame:
     """rec_id, lon, lat, lo, hi (minutes, NULL: open), timed, for each point and range that do not miss each other."""
-    spark = points.sparkSession
-    ranges = spark.createDataFrame([(r.start_min, r.end_min) for r in what.all_ranges], "r_lo int, r_hi int")
     delta = what.delta_ms
     timed = F.lit(False) if delta is None else F.col("time_ms").isNotNull()
     lo = F.when(timed, start_minute(F.col("time_ms") - (delta or 0)))
     hi = F.when(timed, end_minute(F.col("time_ms") + (delta or 0)))
-    both = points.withColumns({"timed": timed, "w_lo": lo, "w_hi": hi}).crossJoin(F.broadcast(ranges))  # ranges: a handful of literals
-    misses = F.col("timed") & (F.coalesce(F.col("r_hi") < F.col("w_lo"), F.lit(False)) | F.coalesce(F.col("r_lo") > F.col("w_hi"), F.lit(False)))
-    own = lambda w, r: F.when(F.col("timed"), F.col(w)).otherwise(F.col(r))
-    return both.filter(~misses).select("rec_id", "lon", "lat", own("w_lo", "r_lo").alias("lo"), own("w_hi", "r_hi").alias("hi"), "timed").distinct()
+    own = lambda x: F.lit(x).cast("int")
+    ranges = F.array(*[F.struct(own(r.start_min).alias("lo"), own(r.end_min).alias("hi")) for r in what.all_ranges])
+    both = points.select("rec_id", "lon", "lat", timed.alias("timed"), lo.alias("w_lo"), hi.alias("w_hi"), F.explode(ranges).alias("r"))
+    misses = F.col("timed") & (F.coalesce(F.col("r.hi") < F.col("w_lo"), F.lit(False)) | F.coalesce(F.col("r.lo") > F.col("w_hi"), F.lit(False)))
+    pick = lambda w, r: F.when(F.col("timed"), F.col(w)).otherwise(F.col(r))
+    out = both.filter(~misses).select("rec_id", "lon", "lat", pick("w_lo", "r.lo").alias("lo"), pick("w_hi", "r.hi").alias("hi"), "timed")
+    return out if len(what.all_ranges) == 1 else out.distinct()
 
 
 def predecessors(products: DataFrame, at: DataFrame) -> DataFrame:
-    """lo, ingest_seq: for each distinct minute lo of at that no product starts in, the last product before it.
+    """lo, last_start, last_seq: for each distinct minute lo of at that no product starts in, the last product before it.
 
-    Products and minutes are cut in days; within a day a running maximum, and the last product of the days before from a
-    table of a row a day.
+    Starts and minutes asked for are one row a minute before anything is sorted; minutes are sorted within days, and the last
+    product of the days before comes from a table of a row a day.
     """
-    from pyspark.sql import Window as W
-
-    place = F.struct("minute", "ingest_seq")
-    starts = products.filter(F.col("start_min").isNotNull()).select(F.col("start_min").alias("minute"), F.lit(1).alias("kind"), "ingest_seq")
-    asked = at.filter(F.col("lo").isNotNull()).select(F.col("lo").alias("minute"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("ingest_seq")).distinct()
-    rows = starts.unionByName(asked).withColumn("day", F.floor(F.col("minute") / BUCKET))
-    last = F.max(F.when(F.col("kind") == 1, place))
-    days = rows.groupBy("day").agg(last.alias("own"))
-    carried = days.select("day", F.max("own").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)).alias("carried"))
-    run = last.over(W.partitionBy("day").orderBy("minute", "kind", "ingest_seq").rowsBetween(W.unboundedPreceding, -1))
-    found = rows.withColumn("run", run).filter("kind = 0").join(carried, "day")
-    found = found.select(F.col("minute").alias("lo"), F.coalesce("run", "carried").alias("p")).filter("p IS NOT NULL")
-    busy = starts.select(F.col("minute").alias("lo")).distinct()
-    return found.join(busy, "lo", "left_anti").select("lo", F.col("p.ingest_seq").alias("ingest_seq"))
+    starts = products.filter(F.col("start_min").isNotNull()).select(F.col("start_min").alias("minute"), "ingest_seq", F.lit(False).alias("asked"))
+    asked = at.filter(F.col("lo").isNotNull()).select(F.col("lo").alias("minute"), F.lit(None).cast("long").alias("ingest_seq"), F.lit(True).alias("asked"))
+    minutes = starts.unionByName(asked).groupBy("minute").agg(F.max("ingest_seq").alias("seq"), F.max("asked").alias("asked"))
+    minutes = minutes.withColumns({"day": F.floor(F.col("minute") / DAY), "own": F.when(F.col("seq").isNotNull(), F.struct(F.col("minute").alias("m"), "seq"))})
+    days = minutes.groupBy("day").agg(F.max("own").alias("last"))
+    carried = days.select("day", F.max("last").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    run = F.max("own").over(Window.partitionBy("day").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1))
+    found = minutes.withColumn("run", run).filter("asked AND seq IS NULL").join(carried, "day")
+    return found.select(F.col("minute").alias("lo"), F.coalesce("run", "carried").alias("p")).filter("p IS NOT NULL").select("lo", F.col("p.m").alias("last_start"), F.col("p.seq").alias("last_seq"))
 
 
-def candidates(products: DataFrame, points: DataFrame, what, level: int = C.DEFAULT_LEVEL) -> DataFrame:
-    """Pairs (ingest_seq, rec_id, lon, lat, wkt) that agree on time and, if products have cells, on the cell."""
-    has_cells = "cells" in products.columns
+def _day(minute: Column) -> Column:
+    return F.floor(minute / DAY)
+
+
+def _kind(lo: Column, hi: Column) -> Column:
+    """0, 1 or 2: how an interval (NULL: open) is listed."""
+    n = _day(hi) - _day(lo)
+    return F.when(lo.isNull() | hi.isNull(), ALWAYS).when(n <= MAX_BUCKETS, 0).when(n <= BLOCK * MAX_BUCKETS, 1).otherwise(ALWAYS)
+
+
+def _stretches(kind: Column, lo: Column, hi: Column, *more: Column) -> Column:
+    """The buckets of an interval by a kind: numbers of days, of blocks, or 0."""
+    first, last = _day(lo), F.greatest(_day(lo), _day(hi))
+    by = lambda f: F.concat(F.sequence(f(first), f(last)), *[F.when(m.isNotNull(), F.array(f(_day(m)))).otherwise(F.array().cast("array<bigint>")) for m in more])
+    distinct = (lambda a: F.array_distinct(a)) if more else (lambda a: a)
+    return F.when(kind == 0, distinct(by(lambda d: d))).when(kind == 1, distinct(by(lambda d: F.floor(d / BLOCK)))).otherwise(F.array(F.lit(0).cast("bigint")))
+
+
+def _met(df: DataFrame, other: Column, lo: Column, hi: Column, mine: str, theirs: str, row: Column, *more: Column) -> DataFrame:
+    """Rows once for each kind of partner (other: array of kinds) and common bucket; a partner of all times spreads this side's rows, and this side's own of all times are spread over salts."""
+    df = df.withColumn(mine, _kind(lo, hi)).withColumn(theirs, F.explode(other))
+    coarse = F.greatest(mine, theirs)
+    df = df.withColumn("bucket", F.explode(_stretches(coarse, lo, hi, *more)))
+    spread, every = F.array(F.pmod(F.xxhash64(row), F.lit(SALT)).cast("int")), F.array(*[F.lit(k) for k in range(SALT)])
+    # Of two sides one is dealt by its rows and the other goes to every salt: the products of all times go everywhere, else windows do.
+    product = mine == "p_kind"
+    dealt = (F.col("p_kind") != ALWAYS) if product else (F.col("p_kind") == ALWAYS)
+    salts = F.when(coarse < ALWAYS, F.array(F.lit(0))).when(dealt, spread).otherwise(every)
+    return df.withColumn("salt", F.explode(salts))
+
+
+def _pairs(products: DataFrame, points: DataFrame, what, level: int) -> DataFrame:
+    """candidates(), with a pair more than once if it meets in several windows or stretches."""
     w = windows(points, what)
-    w = w.withColumn("cell", C.point_cell(F.col("lon"), F.col("lat"), level) if has_cells else F.lit(0))
-    p = products.withColumn("cell", F.explode("cells") if has_cells else F.lit(0)).select("path", "start_min", "end_min", "ingest_seq", "wkt", "cell")
-    late = F.when(F.col("timed") | F.lit(not what.start_only), F.col("end_min")).otherwise(F.col("start_min")) >= F.col("lo")
-    early = F.coalesce(F.col("start_min") < F.col("hi"), F.lit(True))
-    out = ["path", "start_min", "ingest_seq", "wkt", "rec_id", "lon", "lat"]
-    dated = p.filter(F.col("start_min").isNotNull())
     reference = what.time_rule == "reference"
-    # products that start within the window (or, by overlap, meet it); those without times meet all
-    ends = "start_min" if reference else "end_min"
-    day = lambda c: F.floor(F.col(c) / BUCKET)
-    everywhere = F.array(F.lit(EVERYWHERE).cast("long"))
-    far = F.col("start_min").isNull() | (day(ends) - day("start_min") > MAX_BUCKETS)
-    short_w = F.coalesce(day("hi") - day("lo") <= MAX_BUCKETS, F.lit(False))
-    days = lambda x, y: F.sequence(day(x), F.greatest(day(x), day(y)))
-    by_day = p.withColumn("bucket", F.explode(F.when(far, everywhere).otherwise(days("start_min", ends))))
-    asked = w.filter(short_w).withColumn("bucket", F.explode(F.concat(days("lo", "hi"), everywhere)))
-    meets = early & F.coalesce(late, F.lit(True)) & (F.coalesce(F.col("start_min") >= F.col("lo"), F.lit(True)) if reference else F.lit(True))
-    meets = F.col("start_min").isNull() | meets
-    joined = by_day.join(asked, ["cell", "bucket"]).filter(meets).select(*out)
-    wide = p.join(w.filter(~short_w), "cell").filter(meets).select(*out)
-    pairs = joined.unionByName(wide)
+    p = products if "cells" in products.columns else products.withColumn("cells", C.wkt_covering(F.col("wkt"), level))
+    p = p.select("path", "start_min", "end_min", "ingest_seq", "wkt", "cells")
+    if reference:
+        w = w.join(predecessors(products, w), "lo", "left")
+    w = w.withColumn("cell", C.point_cell(F.col("lon"), F.col("lat"), level))
+    kinds = F.array(*[F.lit(k) for k in range(ALWAYS + 1)])
+    start, end = F.col("start_min"), F.col("start_min" if reference else "end_min")
+    lo, hi = F.col("lo"), F.col("hi")
+    mine = _met(p, kinds, start, end, "p_kind", "w_kind", F.col("ingest_seq")).withColumn("cell", F.explode("cells")).drop("cells")
+    theirs = _met(w, F.array(F.lit(0), F.lit(ALWAYS)) if reference else kinds, lo, hi, "w_kind", "p_kind", F.col("rec_id"), *([F.col("last_start")] if reference else []))
+    pairs = mine.join(theirs, ["cell", "p_kind", "w_kind", "bucket", "salt"])
+    late = F.when(F.col("timed") | F.lit(not what.start_only), F.col("end_min")).otherwise(start) >= lo
+    meets = F.coalesce(start < hi, F.lit(True)) & F.coalesce(late, F.lit(True))
     if reference:
-        before = predecessors(products, w).join(w, "lo")
-        tail = dated.join(before, ["ingest_seq", "cell"]).filter(early & late).select(*out)
-        pairs = pairs.unionByName(tail)
-    return pairs.dropDuplicates(["ingest_seq", "rec_id"])
+        meets = meets & (F.coalesce(start >= lo, F.lit(True)) | F.coalesce(F.col("ingest_seq") == F.col("last_seq"), F.lit(False)))
+    return pairs.filter(start.isNull() | meets).select("path", "start_min", "ingest_seq", "wkt", "rec_id", "lon", "lat")
+
+
+def candidates(products: DataFrame, points: DataFrame, what, level: int = C.DEFAULT_LEVEL) -> DataFrame:
+    """Pairs (path, start_min, ingest_seq, wkt, rec_id, lon, lat) that agree on time and on the cell."""
+    return _pairs(products, points, what, level).dropDuplicates(["ingest_seq", "rec_id"])
 
 
 def matchup(products: DataFrame, points: DataFrame, what, level: int = C.DEFAULT_LEVEL) -> DataFrame:
     """Products with any candidate point inside: path, start_min, ingest_seq."""
-    pairs = candidates(products, points, what, level)
-    inside = pairs.filter(wkt_contains(F.col("wkt"), F.col("lon"), F.col("lat")))
+    inside = _pairs(products, points, what, level).filter(wkt_contains(F.col("wkt"), F.col("lon"), F.col("lat")))
     return inside.groupBy("ingest_seq").agg(F.first("path").alias("path"), F.first("start_min").alias("start_min")).select("path", "start_min", "ingest_seq")

@@ -1,25 +1,28 @@
 """Searches of a product catalogue, as one Spark plan each.
 
 Products: path, start_min, end_min (NULL: none), wkt, ingest_seq, and, if stored, cells and bounds. A search is a frozen
-description that compiles to: time filter (native, pushed to the scan) -> cell overlap (native) -> exact geometry (Arrow) ->
-start order -> limit. Results carry path, start_min and ingest_seq.
+description that compiles to: time filter (native, pushed to the scan) -> bounds and cell overlap (native) -> exact geometry
+(Arrow) -> start order -> limit. Results carry path, start_min and ingest_seq.
 
 Time rule "reference" (the default): products are taken in start order from the first with the query's start minute, or
 else from the last before it; so of products that started earlier only that one can match. "overlap" takes all whose
-interval meets the range. A product without times matches any range. Points given with a search replace its region.
+interval meets the range. A product without times matches any range. Points given with a search, as a list or as a table,
+replace its region.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import warnings
+from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swathkit.functions import cells as C
-from swathkit.functions.sphere import read_wkt, ring_of, wkt_contains, wkt_intersects
+from swathkit.functions.sphere import bounds, read_wkt, ring_of, wkt_contains, wkt_intersects, xyz
 from swathkit.functions.times import DAY_MS, MINUTE_MS, literal_ms
 
 UNLIMITED = 2**31 - 1
@@ -53,6 +56,7 @@ class Search:
     delta_ms: int | None = None
     limit: int = UNLIMITED
     time_rule: str = field(default="reference", compare=False)
+    point_table: DataFrame | None = field(default=None, compare=False, repr=False)
 
     def with_region(self, wkt: str) -> Search:
         """Search footprints that meet a WKT polygon; anything else is a ValueError."""
@@ -72,6 +76,10 @@ class Search:
         """Add points (time in ms or None, lon, lat)."""
         return replace(self, points=(*self.points, *((None if t is None else int(t), float(x), float(y)) for t, x, y in points)))
 
+    def with_point_table(self, points: DataFrame) -> Search:
+        """Search with a table of points (rec_id, time_ms, lon, lat), as records() reads them; it is never collected."""
+        return replace(self, point_table=points)
+
     def with_delta(self, ms: int) -> Search:
         """How far from a point's time a product may be; -1 for no limit."""
         return replace(self, delta_ms=None if ms == -1 else ms)
@@ -92,7 +100,7 @@ class Search:
     def __str__(self) -> str:
         show = lambda ms, back: "null" if ms is None else dt.datetime.fromtimestamp((ms - back) / 1000, dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%S")
         ranges = ", ".join(f"[{show(r.start, 0)}, {show(r.end, DAY_MS)}]" for r in self.all_ranges)
-        return f"Search(name={self.name!r}, region={self.region}, ranges=[{ranges}], start_only={self.start_only}, points={len(self.points)}, delta_ms={self.delta_ms}, limit={self.limit})"
+        return f"Search(name={self.name!r}, region={self.region}, ranges=[{ranges}], start_only={self.start_only}, points={len(self.points)}{' and a table' if self.point_table is not None else ''}, delta_ms={self.delta_ms}, limit={self.limit})"
 
 
 def place() -> Column:
@@ -100,8 +108,18 @@ def place() -> Column:
     return F.struct("start_min", "ingest_seq")
 
 
-def in_range(products: DataFrame, r: DateRange, start_only: bool, rule: str = "reference") -> Column:
-    """Whether a product matches a range. The place before the range's start is a scalar subquery of the same plan."""
+def starts_around(products: DataFrame, ranges: Sequence[DateRange]) -> Column:
+    """For each range with a start, whether a product starts in its first minute, and the last product before it: fields e0, b0, e1, ... of one row, made in one pass."""
+    own = F.col("start_min")
+    parts = []
+    for k, r in enumerate(ranges):
+        if r.start_min is not None:
+            parts += [F.coalesce(F.max(own == r.start_min), F.lit(False)).alias(f"e{k}"), F.max(F.when(own < r.start_min, place())).alias(f"b{k}")]
+    return products.agg(F.struct(*parts).alias("x")).scalar()
+
+
+def in_range(products: DataFrame, r: DateRange, start_only: bool, rule: str = "reference", around: Column | None = None, k: int = 0) -> Column:
+    """Whether a product matches a range; around: starts_around() of several ranges, of which this is the k-th."""
     q, e = r.start_min, r.end_min
     ends = F.lit(True) if e is None else F.col("start_min") < e
     if q is None:
@@ -110,29 +128,53 @@ def in_range(products: DataFrame, r: DateRange, start_only: bool, rule: str = "r
     late = own >= q
     if rule == "overlap" or start_only:
         return F.col("start_min").isNull() | (ends & late)
-    timed = products.filter(F.col("start_min").isNotNull())
-    equal = timed.filter(F.col("start_min") == q).agg((F.count("*") > 0).alias("x")).scalar()
-    before = timed.filter(F.col("start_min") < q).agg(F.max(place()).alias("x"))
-    last = (F.col("start_min") == before.select("x.start_min").scalar()) & (F.col("ingest_seq") == before.select("x.ingest_seq").scalar())
-    return F.col("start_min").isNull() | (ends & late & ((F.col("start_min") >= q) | (~equal & last)))
+    around = starts_around(products, [DateRange()] * k + [r]) if around is None else around
+    before = around[f"b{k}"]
+    last = ~around[f"e{k}"] & (F.col("start_min") == before["start_min"]) & (F.col("ingest_seq") == before["ingest_seq"])
+    return F.col("start_min").isNull() | (ends & late & ((F.col("start_min") >= q) | F.coalesce(last, F.lit(False))))
 
 
 def time_filter(products: DataFrame, search: Search) -> DataFrame:
     """Products in any of the search's ranges."""
+    ranges = search.all_ranges
+    needs = search.time_rule == "reference" and not search.start_only and any(r.start_min is not None for r in ranges)
+    around = starts_around(products, ranges) if needs else None
     any_range = None
-    for r in search.all_ranges:
-        one = in_range(products, r, search.start_only, search.time_rule)
+    for k, r in enumerate(ranges):
+        one = in_range(products, r, search.start_only, search.time_rule, around, k)
         any_range = one if any_range is None else any_range | one
     return products.filter(any_range)
 
 
+BOUNDS = ("lat_lo", "lat_hi", "lng_lo", "lng_hi")
+
+
+def in_bounds(box: tuple[float, float, float, float], slack: float = 1e-9) -> Column:
+    """Whether a footprint's stored bounds meet a box (lat_lo, lat_hi, lng_lo, lng_hi); lng_lo above lng_hi crosses the antimeridian. Those without bounds pass."""
+    south, north, west, east = box
+    east += 360 * (east < west)
+    lo, hi = F.col("lng_lo"), F.col("lng_hi") + F.when(F.col("lng_hi") < F.col("lng_lo"), 360.0).otherwise(0.0)
+    across = F.lit(False)
+    for turn in (-360.0, 0.0, 360.0):
+        across = across | ((lo <= east + turn + slack) & (hi >= west + turn - slack))
+    return F.col("lat_lo").isNull() | F.isnan("lat_lo") | ((F.col("lat_lo") <= north + slack) & (F.col("lat_hi") >= south - slack) & across)
+
+
+def pruned(products: DataFrame, box: tuple[float, float, float, float], cells: list[int]) -> DataFrame:
+    """Products that may have to do with a place: by stored bounds, then by stored cells, if there are any."""
+    if set(BOUNDS) <= set(products.columns):
+        products = products.filter(in_bounds(box))
+    if "cells" in products.columns:
+        products = products.filter(F.arrays_overlap("cells", F.array(*[F.lit(c) for c in cells]).cast("array<int>")))
+    return products
+
+
 def region_filter(products: DataFrame, region: str | None, level: int = C.DEFAULT_LEVEL) -> DataFrame:
-    """Products whose footprint meets the region: cells first, if the products have them, then the rings."""
+    """Products whose footprint meets the region."""
     if region is None:
         return products
-    if "cells" in products.columns:
-        products = products.filter(F.arrays_overlap("cells", F.array(*[F.lit(c) for c in C.covering(ring_of(region), level)]).cast("array<int>")))
-    return products.filter(wkt_intersects(F.col("wkt"), region))
+    ring = ring_of(region)
+    return pruned(products, bounds(ring), C.covering(ring, level)).filter(wkt_intersects(F.col("wkt"), region))
 
 
 def ordered(products: DataFrame, limit: int = UNLIMITED) -> DataFrame:
@@ -143,13 +185,15 @@ def ordered(products: DataFrame, limit: int = UNLIMITED) -> DataFrame:
 
 def search(products: DataFrame, what: Search, level: int = C.DEFAULT_LEVEL) -> DataFrame:
     """The products found: path, start_min, ingest_seq, in order."""
-    if what.points:
+    if what.points or what.point_table is not None:
         if what.region:
             warnings.warn("the region is ignored, as points are given", stacklevel=2)
         from swathkit.plans.matchup import matchup
 
         spark = products.sparkSession
-        points = spark.createDataFrame([(k, *p) for k, p in enumerate(what.points)], "rec_id long, time_ms long, lon double, lat double")
+        points = spark.createDataFrame([(-k - 1, *p) for k, p in enumerate(what.points)], "rec_id long, time_ms long, lon double, lat double")
+        if what.point_table is not None:
+            points = points.unionByName(what.point_table.select("rec_id", "time_ms", "lon", "lat"))
         found = matchup(products, points, what, level)
     else:
         found = region_filter(time_filter(products, what), what.region, level)
@@ -171,5 +215,8 @@ def with_positions(products: DataFrame) -> DataFrame:
     return keyed.withColumn("_k", within).join(offsets, ["_timed", "_day"]).withColumn("pid", F.col("_before") + F.col("_k") - 1).drop("_timed", "_day", "_k", "_before")
 
 
-def footprint_contains(products: DataFrame, lon: float, lat: float) -> DataFrame:
-    return products.filter(wkt_contains(F.col("wkt"), F.lit(lon), F.lit(lat)))
+def footprint_contains(products: DataFrame, lon: float, lat: float, level: int = C.DEFAULT_LEVEL) -> DataFrame:
+    """Products whose footprint has a point inside."""
+    cell = C.int_of(C.cell_ids(xyz(np.array([lon]), np.array([lat])), level)).tolist()
+    east = lon - 360 if lon > 180 else lon
+    return pruned(products, (lat, lat, east, east), cell).filter(wkt_contains(F.col("wkt"), F.lit(lon), F.lit(lat)))

@@ -301,15 +301,15 @@ def matchup_window_clip(spark, d):
     return M.windows(points(spark, d), NEAR).select("rec_id", "lo", "hi")
 
 
-@query("matchup_pairs", f"{PAIRS_SQL} SELECT path, rec_id FROM pairs")
+@query("matchup_pairs", f"{PAIRS_SQL}, {PAIR_CORNERS} SELECT path, rec_id FROM pg WHERE {contains_sql(NAMES, vec_sql('lon', 'lat'))}")
 def matchup_pairs(spark, d):
-    return M.candidates(event_products(spark, d), points(spark, d), NEAR).select("path", "rec_id")
+    found = M.candidates(event_products(spark, d), points(spark, d), NEAR)
+    return found.filter(S.wkt_contains(F.col("wkt"), F.col("lon"), F.col("lat"))).select("path", "rec_id")
 
 
 @query("matchup_any_point", f"{PAIRS_SQL}, {PAIR_CORNERS} SELECT DISTINCT path FROM pg WHERE {contains_sql(NAMES, vec_sql('lon', 'lat'))}")
 def matchup_any_point(spark, d):
-    p = event_products(spark, d).withColumn("cells", C.wkt_covering(F.col("wkt")))
-    return M.matchup(p, points(spark, d), NEAR).select("path")
+    return M.matchup(event_products(spark, d), points(spark, d), NEAR).select("path")
 
 
 @query("insert_new_paths", f"WITH {ORDERS_SQL} SELECT path, start_min FROM o WHERE k % 3 <> 0 UNION ALL SELECT path, start_min + 1 FROM o WHERE k % 3 = 0 AND k % 2 = 0")

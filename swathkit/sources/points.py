@@ -8,7 +8,7 @@ NULL. A latitude beyond 90 or a longitude outside -180 to 360, or one that is mi
 filled with NULL; what a row has beyond the header is ignored. Several time columns are joined by a comma and need
 a dateFormat; whole numbers among them lose their fraction.
 
-Only the leading lines come to the driver; rows are read and typed natively.
+Only the parameters and the header come to the driver, wherever the header is; rows are read and typed natively.
 """
 
 from __future__ import annotations
@@ -19,9 +19,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from swathkit.sources.files import numbered_lines
+
 LAT, LON, TIME = ("lat", "latitude", "northing"), ("lon", "long", "longitude", "easting"), ("time", "date")
 DEFAULT_FORMAT = "yyyy-MM-dd HH:mm:ss"
-HEAD_LINES = 1000
+PARAMETERS = 1000  # the most that a file can have; there are seven kinds
 
 
 @dataclass
@@ -103,14 +105,17 @@ def checked(value: Column, low: float, high: float, what: str) -> Column:
 
 def read_points(spark: SparkSession, path: str, date_format: str | None = DEFAULT_FORMAT) -> tuple[DataFrame, Header]:
     """All columns by name, and the header; rec_id ascends with the lines."""
-    text = spark.read.text(path)
-    header = read_header([r[0] for r in text.limit(HEAD_LINES).collect()], None if date_format == DEFAULT_FORMAT else date_format)
-    at = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    rows = text.select("value", at.alias("rec_id")).filter((F.trim("value") != "") & ~F.trim("value").startswith("#"))
-    first = rows.agg(F.min("rec_id")).first()[0]
+    text = numbered_lines(spark, [path]).select(F.col("line").alias("value"), F.col("seq").alias("rec_id"))
+    rows = text.filter((F.trim("value") != "") & ~F.trim("value").startswith("#"))
+    found = rows.agg(F.min("rec_id").alias("at"), F.min_by("value", "rec_id").alias("names")).first()
+    if found.at is None:
+        raise ValueError("a point file needs a header line")
+    other = text.filter(~F.col("value").startswith("#")).agg(F.min("rec_id")).scalar()
+    leading = text.filter(F.col("value").startswith("#") & F.col("value").contains("=") & (F.col("rec_id") < other)).orderBy("rec_id").limit(PARAMETERS)
+    header = read_header([*[r[0] for r in leading.select("value").collect()], found.names], None if date_format == DEFAULT_FORMAT else date_format)
     parts = F.split("value", "\\Q" + header.separator + "\\E", -1)
     cells = [F.nullif(F.trim(F.get(parts, F.lit(k))), F.lit("")).alias(f"c{k}") for k in range(len(header.names))]
-    rows = rows.filter(F.col("rec_id") != first).select("rec_id", *cells)
+    rows = rows.filter(F.col("rec_id") != found.at).select("rec_id", *cells)
     lead = rows.agg(*[F.min_by(f"c{k}", F.when(F.col(f"c{k}").isNotNull(), F.col("rec_id"))).alias(f"c{k}") for k in range(len(header.names))])
     types = lead.select(*[number(F.col(c)).isNotNull().alias(c) for c in lead.columns]).first()
     typed = []

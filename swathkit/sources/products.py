@@ -14,53 +14,63 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swathkit.functions.times import end_minute, minute_text, parsed, start_minute
+from swathkit.sources.files import numbered_lines
 
 COLUMNS = ["path", "start_min", "end_min", "wkt", "ingest_seq"]
 
 
 def lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """line, file_no, seq: lines of files in the order given."""
-    out = None
-    for k, path in enumerate(paths):
-        at = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-        one = spark.read.text(path).select(F.col("value").alias("line"), F.lit(k).alias("file_no"), (F.lit(k).cast("long") * (1 << 44) + at).alias("seq"))
-        out = one if out is None else out.unionByName(one)
-    return spark.createDataFrame([], "line string, file_no int, seq long") if out is None else out
+    return numbered_lines(spark, paths)
 
 
-def _fields(raw: DataFrame, stop_at_blank: bool) -> DataFrame:
-    """Adds f, the fields of lines that count. The check of their number asks itself whether the line counts, as filters may be reordered."""
-    live = F.col("line") != ""
-    if stop_at_blank:
-        end = raw.filter(F.col("line") == "").groupBy("file_no").agg(F.min("seq").alias("stop"))  # a row a file
-        raw = raw.join(F.broadcast(end), "file_no", "left")
-        live = live & (F.col("stop").isNull() | (F.col("seq") < F.col("stop")))
+def fields(raw: DataFrame, live: Column | None = None) -> DataFrame:
+    """Adds f, the fields of the lines that count (live, and not empty).
+
+    Fewer than four fields fail the read. The check asks itself whether the line counts, as filters may be reordered.
+    """
+    live = F.col("line") != "" if live is None else live & (F.col("line") != "")
     f = F.split("line", "\t", -1)
     checked = F.when(live & (F.size(f) < 4), F.raise_error(F.concat(F.lit("fewer than four fields: "), F.col("line")))).otherwise(f)
     return raw.withColumn("f", checked).filter(live)
 
 
+def _fields(raw: DataFrame, stop_at_blank: bool) -> DataFrame:
+    if not stop_at_blank:
+        return fields(raw)
+    end = raw.filter(F.col("line") == "").groupBy("file_no").agg(F.min("seq").alias("stop"))  # a row a file
+    return fields(raw.join(F.broadcast(end), "file_no", "left"), F.col("stop").isNull() | (F.col("seq") < F.col("stop")))
+
+
 def _bad(field: Column) -> Column:
     text = F.trim(field)
     return (text != "") & (F.lower(text) != "null") & parsed(field).isNull()
 
 
+def bad_time() -> Column:
+    """Whether a line with fields f has a time that is none."""
+    return _bad(F.col("f")[1]) | _bad(F.col("f")[2])
+
+
 def repaired(start: Column, end: Column) -> tuple[Column, Column]:
     """Each time, or the other if it is missing."""
     return F.coalesce(start, end), F.coalesce(end, start)
 
 
-def read_products(spark: SparkSession, paths: str | Sequence[str], stop_at_blank: bool = True) -> DataFrame:
-    """path, start_ms, end_ms, wkt, ingest_seq; lines with a bad time are left out."""
-    rows = _fields(lines(spark, [paths] if isinstance(paths, str) else paths), stop_at_blank)
+def from_fields(rows: DataFrame, seq: Column) -> DataFrame:
+    """path, start_ms, end_ms, wkt, ingest_seq of rows with fields f; those with a bad time are left out."""
     f = F.col("f")
     start, end = repaired(parsed(f[1]), parsed(f[2]))
-    return rows.filter(~_bad(f[1]) & ~_bad(f[2])).select(f[0].alias("path"), start.alias("start_ms"), end.alias("end_ms"), f[3].alias("wkt"), F.col("seq").alias("ingest_seq"))
+    return rows.filter(~bad_time()).select(f[0].alias("path"), start.alias("start_ms"), end.alias("end_ms"), f[3].alias("wkt"), seq.alias("ingest_seq"))
+
+
+def read_products(spark: SparkSession, paths: str | Sequence[str], stop_at_blank: bool = True) -> DataFrame:
+    """path, start_ms, end_ms, wkt, ingest_seq; lines with a bad time are left out."""
+    return from_fields(_fields(lines(spark, [paths] if isinstance(paths, str) else paths), stop_at_blank), F.col("seq"))
 
 
 def bad_lines(spark: SparkSession, paths: str | Sequence[str], stop_at_blank: bool = True) -> DataFrame:
-    rows = _fields(lines(spark, [paths] if isinstance(paths, str) else paths), stop_at_blank)
-    return rows.filter(_bad(F.col("f")[1]) | _bad(F.col("f")[2])).select("line", "file_no")
+    return _fields(lines(spark, [paths] if isinstance(paths, str) else paths), stop_at_blank).filter(bad_time()).select("line", "file_no")
 
 
 def in_minutes(products: DataFrame) -> DataFrame:

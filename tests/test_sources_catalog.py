@@ -61,7 +61,7 @@ def test_safe_catalog(spark, tmp_path):
     assert c.dump().count() == 5
     assert c.update() == 3 and c.version == 2 and c.size() == 3 and not c.pending()
     assert c.update([write(tmp_path / "3.csv", products("p", [4]))]) == 1 and c.size() == 4
-    assert sorted(p.name for p in folder.iterdir() if p.name.startswith("v")) == ["v2", "v3"]
+    assert sorted(p.name for p in folder.iterdir() if p.name.startswith("v")) == ["v1", "v2", "v3"]
     assert len(list((folder / "attic").glob("scan.*"))) == 3 and not (tmp_path / "1.csv").exists()
     assert [r[0] for r in c.query(Search().with_region(BOX).with_limit(2)).collect()] == ["p1", "p2"]
     (folder / "v4").mkdir()
@@ -71,6 +71,79 @@ def test_safe_catalog(spark, tmp_path):
         Catalog(spark, str(tmp_path / "none"), fail_if_missing=True).size()
 
 
+def test_parts_are_merged_and_old_ones_go(spark, tmp_path):
+    folder = tmp_path / "cat"
+    c = Catalog(spark, str(folder))
+    for n in range(1, 12):
+        assert c.update([write(tmp_path / "l.csv", [(f"m{n}", f"2006-02-{n:02}T01:00:00", "", BOX), ("m1", "", "", BOX)])]) == 2
+        assert c.size() == n
+    kept = sorted(int(p.name[1:]) for p in folder.iterdir() if p.name.startswith("v"))
+    assert c.version == 12 and kept == [10, 11, 12]  # the ninth update wrote all as one part, v10
+    assert [r[0] for r in c.query(Search()).collect()] == [f"m{n}" for n in range(1, 12)]
+    assert c.products().select("ingest_seq").distinct().count() == 11
+
+
+def test_level_belongs_to_the_catalogue(spark, tmp_path):
+    folder = str(tmp_path / "cat")
+    Catalog(spark, folder, level=3).update([write(tmp_path / "1.csv", products("p", [1]))])
+    region = Search().with_region("POLYGON ((2 2, 4 2, 4 4, 2 4, 2 2))")
+    for c in (Catalog(spark, folder), Catalog(spark, folder, level=6), Catalog(spark, folder, level=3)):
+        assert c.level == 3 and [r[0] for r in c.query(region).collect()] == ["p1"]
+        assert [r[0] for r in c.query(Search().with_points([(None, 5, 5)])).collect()] == ["p1"]
+    with pytest.raises(ValueError, match="level 3"):
+        Catalog(spark, folder, level=6).update([write(tmp_path / "2.csv", products("p", [2]))])
+
+
+def test_pointer_survives_a_crash(spark, tmp_path):
+    folder = tmp_path / "cat"
+    c = Catalog(spark, str(folder))
+    for n in (1, 2):
+        c.update([write(tmp_path / "l.csv", products("p", [n]))])
+    assert not (folder / "_current.tmp").exists()
+    whole = (folder / "_current").read_bytes()
+    for crc in folder.glob("._current*"):
+        crc.unlink()
+    (folder / "_current").write_bytes(whole[:10])  # as a file system without renames would leave it
+    with pytest.warns(UserWarning, match="version 2 is used"):
+        assert c.size() == 2
+    (folder / "v3").mkdir()  # a version that was not finished
+    (folder / "v3" / "_version.json").write_text("{}")
+    with pytest.warns(UserWarning, match="version 2 is used"):
+        assert c.version == 2
+    with pytest.warns(UserWarning):
+        assert c.update([write(tmp_path / "l.csv", products("p", [3]))]) == 1
+    assert c.version == 3 and c.size() == 3
+    (folder / "_current").write_text('{"format": 99}')
+    for crc in folder.glob("._current*"):
+        crc.unlink()
+    with pytest.raises(ValueError, match="format 99"):
+        c.products()
+
+
+def test_closed_catalogue(spark, tmp_path):
+    with Catalog(spark, str(tmp_path / "cat")) as c:
+        assert c.size() == 0
+    for use in (lambda: c.query(Search()), c.products, lambda: c.update([write(tmp_path / "l.csv", products("p", [1]))])):
+        with pytest.raises(RuntimeError, match="closed"):
+            use()
+
+
+def test_lists_of_a_folder(spark, tmp_path):
+    """Lines of several files have different places, ascending by file name and line."""
+    folder = tmp_path / "lists"
+    folder.mkdir()
+    for f in "cab":
+        write(folder / f"{f}.csv", [(f"{f}{n}", "", "", BOX) for n in range(40)])
+    rows = read_products(spark, str(folder)).collect()
+    assert len({r.ingest_seq for r in rows}) == 120
+    assert [r.path for r in sorted(rows, key=lambda r: r.ingest_seq)] == [f"{f}{n}" for f in "abc" for n in range(40)]
+    both = read_products(spark, [str(folder / "c.csv"), str(folder / "a.csv")]).orderBy("ingest_seq").collect()
+    assert [r.path[0] for r in both] == ["c"] * 40 + ["a"] * 40
+    far = tmp_path / "far.csv"
+    far.write_text("".join(f"# note {k}\n" for k in range(1500)) + "lat\tlon\n1\t2\n")
+    assert [(r.lat, r.lon) for r in records(spark, str(far)).collect()] == [(1.0, 2.0)]
+
+
 def test_simple_and_text_catalogs(spark, tmp_path):
     path = write(tmp_path / "1.csv", products("p", [1, 2]))
     s = SimpleCatalog(spark, str(tmp_path / "simple"))
@@ -91,6 +164,13 @@ def test_stream(spark, tmp_path):
     write(tmp_path / "in" / "b.csv", products("p", [2, 3]))
     ingest(spark, str(tmp_path / "in"), c, str(tmp_path / "cp")).awaitTermination(120)
     assert sorted(r.path for r in c.products().collect()) == ["p1", "p2", "p3"]
+    write(tmp_path / "in" / "c.csv", [("bad", "soon", "later", BOX), ("half", "2005-01-05T00:00:00", "later", BOX), ("",), *products("q", [1])])
+    ingest(spark, str(tmp_path / "in"), c, str(tmp_path / "cp")).awaitTermination(120)
+    assert sorted(r.path for r in c.products().collect()) == ["p1", "p2", "p3", "q1"]
+    assert sorted(x.split("\t")[0] for f in (tmp_path / "cat" / "bad_lines").rglob("part-*") for x in f.read_text().splitlines()) == ["bad", "half"]
+    write(tmp_path / "in" / "d.csv", [("short", "")])
+    with pytest.raises(Exception, match="fewer than four fields"):
+        ingest(spark, str(tmp_path / "in"), c, str(tmp_path / "cp")).awaitTermination(120)
 
 
 def test_command_line(spark, tmp_path, capsys):
@@ -99,6 +179,9 @@ def test_command_line(spark, tmp_path, capsys):
     capsys.readouterr()
     assert main(["query", folder, "startTime", "2005-01-02", "wkt", BOX], spark) == 0
     assert capsys.readouterr().out == "p2\n"
+    points = write(tmp_path / "points.tsv", [("lat", "lon", "time"), ("5", "5", "2005-01-01 09:00:00"), ("50", "5", "2005-01-02 11:00:00")])
+    assert main(["query", folder, "insitu", points], spark) == 0
+    assert capsys.readouterr().out == "p1\n"
     assert main(["dump", folder], spark) == 0
     assert capsys.readouterr().out.splitlines()[0] == f"p1\t2005-01-01T10:00:00\t2005-01-01T12:01:00\t{BOX}"
     assert main(["query", folder, "startTime"], spark) == 1 and main(["create", folder], spark) == 1 and main([], spark) == 1
