@@ -1,4 +1,4 @@
-"""Bounded samples of documents and labels for the classifiers that are trained here."""
+"""Folds and bounded samples of labels for the classifiers that are trained here."""
 
 from __future__ import annotations
 
@@ -20,7 +20,7 @@ def _part(of: Column, share: float) -> Column:
 
 
 def training_labels(labels: DataFrame, label: str, folds: int, fold: int) -> DataFrame:
-    """(doc_id, y) of rows that may be learned from; of several labels for an id, the majority."""
+    """(doc_id, y) of rows that may be learned from; of several labels for an id, the majority, and 1 of a tie."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{label}`").cast("double").alias("y")).dropna()
     return rows.groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y")).filter(~held_out(F.col("doc_id"), folds, fold))
 
@@ -35,9 +35,3 @@ def with_text(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) ->
     """The documents of a bounded sample of labels: (doc_id, text, y). The sample is broadcast; its bound is its limit."""
     return documents(docs, id_col, text_col).join(F.broadcast(sample), "doc_id")
 
-
-def sample_of_documents(docs: DataFrame, most: int, id_col: str, text_col: str) -> DataFrame:
-    """About 0.95 * `most` documents (doc_id, text) if there are more, by a hash of id and text; repeated rows go together."""
-    base = documents(docs, id_col, text_col)
-    n = docs.count()
-    return base.filter(_part(F.xxhash64("doc_id", "text"), 0.95 * most / n if n > most else 1.0))

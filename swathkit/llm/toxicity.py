@@ -7,13 +7,14 @@ that inflected forms are found; exception phrases are two words (" word next ",
 not count. Of several entries at one word the heaviest counts. A document's score is logistic in the weight of its distinct
 hits, that weight by length, the numbers of hits, the heaviest, and its length.
 
-Learning (training rows alone, at most MAX_TRAIN of them, by a hash of the id; equal texts count once): words and stems of
-toxic texts, counted on the executors, give at most MAX_TERMS candidates; these are counted in all sampled texts, by part.
-A term's weight is its log-odds of being toxic above the usual, less a standard error. Phrases with a term that are clean
-get exceptions. The logistic scale is fitted across PARTS parts: each part's texts are measured with the lexicon of the
+Learning (training rows alone, at most MAX_TRAIN of them, by a hash of the id; equal texts count once): words and stems are
+counted in all sampled texts, by part, on the executors. A term's weight is its log-odds of being toxic above the usual, less a
+standard error; only terms whose weight is large enough, in all or without one of the parts, leave the executors. Phrases
+with a term that are clean get exceptions. The logistic scale is fitted across PARTS parts: each part's texts are measured with the lexicon of the
 other parts' counts, so no text is measured with terms learned from it.
 
-Defined results: null and empty texts have no hits and the score that goes with none. Rows without a doc_id are scored and
+Defined results: null and empty texts have no hits and the score that goes with none; very long texts are folded and matched
+whole. Equal scores are not told apart; of several labels for an id the majority counts, a tie as 1. Rows without a doc_id are scored and
 are not held out. Without training labels of both kinds the built-in lexicon is empty and the score is 0. Repeated rows
 each get their row. An empty table gives an empty result. Extra columns are ignored.
 """
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from swathkit.llm.common import documents, prepare, table, written
 from swathkit.llm.labelled import held_out, sample_of_labels, training_labels, with_text
 
-MAX_TRAIN, MAX_TERMS, LEAST_DOCS, LEAST_WEIGHT, PARTS = 16_000, 100_000, 3, 2.0, 4
+MAX_TRAIN, LEAST_DOCS, LEAST_WEIGHT, PARTS = 16_000, 3, 2.0, 4
 STEM = (3, 8)  # letters of a stem; the word has more
 THRESHOLD, FOLDS, HELD_OUT = 0.7, 3, 1
 
@@ -191,6 +192,24 @@ def _counts(rows: DataFrame, find: Callable[[str], set[str]], *by: str) -> DataF
     return rows.select("text", "y", "part").mapInArrow(_counting(find), "term string, part int, docs long, toxic long").groupBy("term", *by).agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
 
 
+def heavy_terms(counts: DataFrame, size: dict[int, tuple[int, int]]) -> DataFrame:
+    """term, its documents by part, its toxic documents by part: for terms that weigh() may keep in all parts, or without one of them."""
+    n, n_toxic = (sum(x[k] for x in size.values()) for k in (0, 1))
+    own = lambda c, k: F.sum(F.when(F.col("part") == k, F.col(c)).otherwise(0)).cast("long")
+    rows = counts.groupBy("term").agg(*[own("docs", k).alias(f"d{k}") for k in range(PARTS)], *[own("toxic", k).alias(f"t{k}") for k in range(PARTS)])
+    keep = F.lit(False)
+    for left_out in (None, *range(PARTS)):
+        rest, rest_toxic = (n, n_toxic) if left_out is None else (n - size[left_out][0], n_toxic - size[left_out][1])
+        if not 0 < rest_toxic < rest:
+            continue
+        docs, toxic = (sum((F.col(f"{c}{k}") for k in range(PARTS) if k != left_out), F.lit(0)) for c in "dt")
+        share = rest_toxic / rest
+        a, b = toxic + share, docs - toxic + 1 - share
+        weight = F.log(a / b) - math.log(share / (1 - share)) - F.sqrt(1 / a + 1 / b)
+        keep = keep | ((toxic >= LEAST_DOCS) & (weight >= LEAST_WEIGHT - 1e-6))
+    return rows.filter(keep)
+
+
 def _numbering(lexicons: list[Lexicon]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -210,16 +229,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n, n_toxic = (sum(x[k] for x in size.values()) for k in (0, 1))
     if not 0 < n_toxic < n:
         return Model(Lexicon(), None)
-    first = _counts(texts.filter("y = 1"), candidates_of).filter(F.col("toxic") >= LEAST_DOCS).orderBy(F.desc("toxic"), "term").limit(MAX_TERMS)
-    terms = frozenset(r[0] for r in first.select("term").collect())
     by_part: dict[str, dict[int, tuple[int, int]]] = {}
-    for term, part, d, t in _counts(texts, lambda folded: candidates_of(folded) & terms, "part").collect():  # at most MAX_TERMS * PARTS
-        by_part.setdefault(term, {})[part] = (d, t)
+    for term, *own in heavy_terms(_counts(texts, candidates_of, "part"), size).collect():
+        by_part[term] = {k: (own[k], own[PARTS + k]) for k in range(PARTS) if own[k]}
     whole = {term: tuple(map(sum, zip(*own.values(), strict=True))) for term, own in by_part.items()}
     lexicon = Lexicon(weigh(((t, *c) for t, c in whole.items()), n, n_toxic))
     if lexicon.weights:
         found = _counts(texts, lambda folded: phrases_of(folded, lexicon)).filter((F.col("docs") >= 5) & (F.col("toxic") * 4 <= F.col("docs")))
-        lexicon.exceptions = tuple(sorted(r[0] for r in found.orderBy(F.desc("docs"), "term").limit(MAX_TERMS).select("term").collect()))
+        lexicon.exceptions = tuple(sorted(r[0] for r in found.select("term").collect()))
         lexicon.automaton = None
     others = []
     for k in range(PARTS):
