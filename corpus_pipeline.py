@@ -27,7 +27,7 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (score below its threshold) go."""
-    model = pu.train(docs, table(spark, sf_dir, "labels"))
+    model = pu.train(pu.featured(docs), table(spark, sf_dir, "labels"))
     return docs.filter(pu.score_column(F.col("text"), model) >= pu.THRESHOLD)
 
 
