@@ -1,8 +1,9 @@
-"""Command line: update, query and dump a catalogue.
+"""Command line: update, query and dump a catalogue; and the cells of a place.
 
     python -m swathkit update <folder> <list>
     python -m swathkit query <folder> [startTime T] [endTime T] [wkt POLYGON] [insitu FILE]
     python -m swathkit dump <folder> [<list>]
+    python -m swathkit cells <longitude> <latitude>
 
 Results go to standard output, one path a line; a point file sets a time difference of three hours.
 """
@@ -13,6 +14,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from swathkit.functions.cells import ids_of_place
 from swathkit.operators.catalog import Catalog
 from swathkit.plans.search import Search
 from swathkit.sources.points import records
@@ -37,9 +39,16 @@ def build_search(spark: SparkSession, words: list[str]) -> Search:
 
 
 def main(args: list[str], spark: SparkSession | None = None) -> int:
-    if len(args) < 2 or args[0] not in ("update", "query", "dump"):
+    if len(args) < 2 or args[0] not in ("update", "query", "dump", "cells"):
         print(__doc__, file=sys.stderr)
         return 1
+    if args[0] == "cells":
+        if len(args) != 3:
+            print(__doc__, file=sys.stderr)
+            return 1
+        for level, cell, short in ids_of_place(float(args[1]), float(args[2])):
+            print(level, cell, short)
+        return 0
     spark = spark or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     catalog = Catalog(spark, args[1])
     try:

@@ -70,6 +70,12 @@ def cell_ids(points: np.ndarray, level: int = MAX_LEVEL) -> np.ndarray:
     return id_of_ij(face, i, j, level)
 
 
+def ids_of_place(lon: float, lat: float, levels: range = range(INT_LEVEL + 1)) -> list[tuple[int, int, int]]:
+    """(level, 64-bit id as a signed number, 30-bit id) of the cells that hold a place."""
+    p = xyz(np.array([lon]), np.array([lat]))
+    return [(k, int(cell_ids(p, k).view(np.int64)[0]), int(int_of(cell_ids(p, k))[0])) for k in levels]
+
+
 @lru_cache(8)
 def grid(level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All cells of a level: 30-bit ids, centres, and angles from a centre to its farthest corner."""

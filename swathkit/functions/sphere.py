@@ -258,6 +258,16 @@ def wkt_area(wkt: Column) -> Column:
     return run(wkt)
 
 
+def wkt_equal(a: Column, b: Column) -> Column:
+    """Whether two WKT polygons are equal, as same_polygon() says."""
+
+    @F.pandas_udf("boolean")
+    def run(one: pd.Series, other: pd.Series) -> pd.Series:
+        return pd.Series([same_polygon(x, y) for x, y in zip(one, other, strict=True)], dtype=bool)
+
+    return run(a, b)
+
+
 def wkt_bounds(wkt: Column) -> Column:
     """struct(lat_lo, lat_hi, lng_lo, lng_hi)."""
 

@@ -11,11 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from swathkit import benchmarks as B
 from swathkit.functions import cells as C
 from swathkit.functions import sphere as S
 from swathkit.functions.times import end_minute, millis, minute_text, start_minute
 from swathkit.operators import statistics as ST
-from swathkit.operators.catalog import first_by_path, insert_new, interned, with_geometry
+from swathkit.operators.catalog import first_by_path, insert_new, interned
 from swathkit.plans import matchup as M
 from swathkit.plans.search import Search, ordered, region_filter, search, time_filter, with_positions
 from swathkit.sources.points import number
@@ -256,12 +257,44 @@ def cell_ranges(spark, d):
     return rows.select("o_orderkey", C.lowest_on_bit(c).alias("low"), C.range_min(c).alias("range_min"), C.range_max(c).alias("range_max"), C.as_int(c).alias("as_int"), C.as_int_at_level(c, 4).alias("at_level_4"))
 
 
-@query("point_cells")
+def cells_sql(source: str, key: str) -> str:
+    """CTEs c (key, face, pos: the place on the face's curve at level 13) of a CTE's key, lon, lat."""
+    steps = ["x0 AS (SELECT *, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM " + source + ")",
+             "x1 AS (SELECT *, CASE WHEN abs(x) >= abs(y) AND abs(x) >= abs(z) THEN CASE WHEN x < 0 THEN 3 ELSE 0 END WHEN abs(y) >= abs(z) THEN CASE WHEN y < 0 THEN 4 ELSE 1 END WHEN z < 0 THEN 5 ELSE 2 END AS face FROM x0)",
+             "x2 AS (SELECT *, CASE face WHEN 0 THEN y / x WHEN 1 THEN -x / y WHEN 2 THEN -x / z WHEN 3 THEN z / x WHEN 4 THEN z / y ELSE -y / z END AS u, CASE face WHEN 0 THEN z / x WHEN 1 THEN z / y WHEN 2 THEN -y / z WHEN 3 THEN y / x WHEN 4 THEN -x / y ELSE -x / z END AS v FROM x1)",
+             "x3 AS (SELECT *, CASE WHEN u >= 0 THEN 0.5 * sqrt(1 + 3 * u) ELSE 1 - 0.5 * sqrt(1 - 3 * u) END AS s, CASE WHEN v >= 0 THEN 0.5 * sqrt(1 + 3 * v) ELSE 1 - 0.5 * sqrt(1 - 3 * v) END AS t FROM x2)",
+             f"s13 AS (SELECT {key}, face::BIGINT AS face, least(floor(s * 8192), 8191)::BIGINT AS i, least(floor(t * 8192), 8191)::BIGINT AS j, (face % 2)::BIGINT AS turn, 0::BIGINT AS pos FROM x3)"]
+    table = [list(row) for row in C.IJ_TO_POSITION]
+    for k in range(12, -1, -1):
+        steps.append(f"p{k} AS (SELECT *, ({table})[turn + 1][(((i >> {k}) & 1) * 2 + ((j >> {k}) & 1)) + 1] AS q FROM s{k + 1})")
+        steps.append(f"s{k} AS (SELECT {key}, face, i, j, xor(turn, ({list(C.TURN)})[q + 1])::BIGINT AS turn, pos * 4 + q AS pos FROM p{k})")
+    return ", ".join([*steps, f"c AS (SELECT {key}, face, pos FROM s0)"])
+
+
+@query("point_cells", f"{EVENTS_SQL}, {cells_sql('pt', 'rec_id')} SELECT rec_id, ((face << 27) | (((pos >> 18) << 1 | 1) << 18))::INTEGER AS cell_4, ((face << 27) | (pos << 1 | 1))::INTEGER AS cell_13 FROM c")
 def point_cells(spark, d):
     p = points(spark, d)
     return p.select("rec_id", C.point_cell(F.col("lon"), F.col("lat")).alias("cell_4"), C.point_cell(F.col("lon"), F.col("lat"), 13).alias("cell_13"))
 
 
+@query("cell_demo", f"WITH one AS (SELECT 1 AS k, 10.0::DOUBLE AS lon, 42.0::DOUBLE AS lat), {cells_sql('one', 'k')} SELECT l::INTEGER AS level, (face << 61) | (((pos >> (26 - 2 * l)) << 1 | 1) << (60 - 2 * l)) AS id, ((face << 27) | (((pos >> (26 - 2 * l)) << 1 | 1) << (26 - 2 * l)))::INTEGER AS int_id FROM c, range(0, 14) r(l)")
+def cell_demo(spark, d):
+    """The ids of one place by level, as the command line prints them."""
+    return spark.createDataFrame(C.ids_of_place(10.0, 42.0), "level int, id long, int_id int")
+
+
+@query("coverings_hold_footprints", f"{PRODUCTS_SQL} SELECT path, 5 AS inside FROM p")
+def coverings_hold_footprints(spark, d):
+    """How many of a footprint's corners and its middle lie in cells of its covering: all five."""
+    p = products(spark, d).withColumn("cells", C.wkt_covering(F.col("wkt")))
+    corner = [("west", "south"), ("east", "south"), ("east", "north"), ("west", "north")]
+    spots = [F.struct(F.col(x).cast("double").alias("lon"), F.col(y).cast("double").alias("lat")) for x, y in corner]
+    spots.append(F.struct(((F.col("west") + F.col("east")) / 2).alias("lon"), ((F.col("south") + F.col("north")) / 2).alias("lat")))
+    rows = p.select("path", "cells", F.explode(F.array(*spots)).alias("s"))
+    cell = C.point_cell(F.col("s.lon"), F.col("s.lat"))
+    return rows.withColumn("cell", cell).groupBy("path").agg(F.sum(F.array_contains("cells", F.col("cell")).cast("int")).cast("int").alias("inside"))
+
+
 @query("footprint_coverings")
 def footprint_coverings(spark, d):
     return products(spark, d).select("path", C.wkt_covering(F.col("wkt")).alias("cells"))
@@ -387,9 +420,9 @@ def _levels(spark, d):
     return p.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("path"), (F.col("p_partkey") % 40).alias("list_no"), F.col("p_partkey").alias("ingest_seq"), "level", ratio.cast("double").alias("ratio"), (4 * (F.col("level") + F.col("p_size"))).alias("bytes"), (F.col("p_size") / 1024.0).cast("double").alias("area"))
 
 
-@query("level_stats", f"WITH {LEVELS_SQL} SELECT level, min(ratio) AS min_ratio, max(ratio) AS max_ratio, sum(ratio) AS sum_ratio, min(bytes) AS min_bytes, max(bytes) AS max_bytes, sum(bytes)::BIGINT AS sum_bytes, count(*) AS n FROM l GROUP BY level")
+@query("level_stats", f"WITH {LEVELS_SQL} SELECT level, min(ratio) AS min_ratio, max(ratio) AS max_ratio, avg(ratio) AS mean_ratio, sum(ratio) AS sum_ratio, min(bytes) AS min_bytes, max(bytes) AS max_bytes, sum(bytes)::BIGINT AS sum_bytes, count(*) AS n FROM l GROUP BY level")
 def level_stats(spark, d):
-    return ST.level_stats(_levels(spark, d)).drop("mean_ratio")
+    return ST.level_stats(_levels(spark, d))
 
 
 @query("sample_100", f"WITH {LEVELS_SQL} SELECT path, list_no FROM (SELECT *, row_number() OVER (PARTITION BY list_no ORDER BY ingest_seq) AS r FROM l WHERE level = 0 AND area > 0.01) WHERE r <= 100")
@@ -402,6 +435,12 @@ def stop_at_ratio(spark, d):
     return ST.until_ratio(_levels(spark, d), 2.2).select("path", "level")
 
 
+@query("storage_levels", f"""WITH {LEVELS_SQL}, b AS (SELECT *, bytes > 20 AND (coalesce(bytes = lag(bytes) OVER (PARTITION BY path ORDER BY level), FALSE) OR ratio < 2.2) AS ends FROM l),
+ s AS (SELECT *, min(CASE WHEN ends THEN level END) OVER (PARTITION BY path) AS stop FROM b) SELECT path, level FROM s WHERE (stop IS NULL OR level < stop) AND ratio <= 8""")
+def storage_levels(spark, d):
+    return ST.storage_levels(_levels(spark, d), 8.0, 2.2).select("path", "level")
+
+
 @query("measurement_pivot", """SELECT o_orderstatus AS test, arg_min(o_custkey, o_orderkey) FILTER (WHERE o_orderpriority = '1-URGENT') AS urgent_ms, arg_min(o_orderkey, o_orderkey) FILTER (WHERE o_orderpriority = '1-URGENT') AS urgent_products,
  arg_min(o_custkey, o_orderkey) FILTER (WHERE o_orderpriority = '5-LOW') AS low_ms, arg_min(o_orderkey, o_orderkey) FILTER (WHERE o_orderpriority = '5-LOW') AS low_products FROM orders GROUP BY o_orderstatus""")
 def measurement_pivot(spark, d):
@@ -410,9 +449,74 @@ def measurement_pivot(spark, d):
     return t.select("test", F.col("`1-URGENT_ms`").alias("urgent_ms"), F.col("`1-URGENT_products`").alias("urgent_products"), F.col("`5-LOW_ms`").alias("low_ms"), F.col("`5-LOW_products`").alias("low_products"))
 
 
-@query("footprint_bounds")
+MICRO = "floor({} * 1000000 + 0.5)::BIGINT"
+
+
+def micro(c: Column) -> Column:
+    return F.floor(c * 1_000_000 + 0.5).cast("long")
+
+
+def _bulge(lat: str, sign: str) -> str:
+    """The farthest latitude of an edge between two points of one latitude: it bulges toward the pole."""
+    return f"CASE WHEN {sign}{lat} > 0 THEN degrees(atan(tan(radians({lat})) / cos(radians((east - west) / 2.0)))) ELSE {lat} END"
+
+
+@query("footprint_bounds", f"{PRODUCTS_SQL} SELECT path, {MICRO.format(_bulge('south', '-'))} AS lat_lo, {MICRO.format(_bulge('north', ''))} AS lat_hi, {MICRO.format('west')} AS lng_lo, {MICRO.format('east')} AS lng_hi FROM p")
 def footprint_bounds(spark, d):
-    return with_geometry(products(spark, d).select("path", "start_min", "end_min", "wkt", "ingest_seq"))
+    """Bounds of all footprints, in millionths of a degree."""
+    b = products(spark, d).withColumn("b", S.wkt_bounds(F.col("wkt")))
+    return b.select("path", *[micro(F.col(f"b.{n}")).alias(n) for n in ("lat_lo", "lat_hi", "lng_lo", "lng_hi")])
+
+
+def _triangle(a, b, c) -> str:
+    dot = lambda u, v: f"({u[0]} * {v[0]} + {u[1]} * {v[1]} + {u[2]} * {v[2]})"
+    return f"2 * atan2({side_sql(b, c, a)}, 1 + {dot(a, b)} + {dot(a, c)} + {dot(b, c)})"
+
+
+@query("footprint_areas", f"{PRODUCTS_SQL}, {CORNERED} SELECT path, {MICRO.format(f'({_triangle(NAMES[0], NAMES[1], NAMES[2])} + {_triangle(NAMES[0], NAMES[2], NAMES[3])})')} AS area FROM g")
+def footprint_areas(spark, d):
+    """Areas of all footprints, in millionths of a steradian."""
+    return products(spark, d).select("path", micro(S.wkt_area(F.col("wkt"))).alias("area"))
+
+
+@query("polygon_equality", f"{PRODUCTS_SQL} SELECT path, k % 4 <> 2 AS equal FROM p")
+def polygon_equality(spark, d):
+    """A footprint against itself, from another vertex on, turned round, and moved."""
+    corner = lambda x, y: F.concat(F.col(x).cast("string"), F.lit(" "), F.col(y).cast("string"))
+    ring = [("west", "south"), ("east", "south"), ("east", "north"), ("west", "north")]
+    text = lambda r: F.concat(F.lit("POLYGON (("), F.concat_ws(", ", *[corner(*c) for c in [*r, r[0]]]), F.lit("))"))
+    k = F.col("k") % 4
+    moved = F.regexp_replace("wkt", r"^POLYGON \(\(", "POLYGON ((0.5 0.5, ")
+    other = F.when(k == 0, text(ring[2:] + ring[:2])).when(k == 1, text(ring[::-1])).when(k == 2, moved).otherwise(F.col("wkt"))
+    return products(spark, d).select("path", S.wkt_equal(F.col("wkt"), other).alias("equal"))
+
+
+OTHER = [(100.5, -20.5), (140.5, -20.5), (140.5, 10.5), (100.5, 10.5)]
+PLACES = [(10.5, 42.5), (110.25, -5.5), (-60.75, 33.25)]
+
+
+def _benchmarks_sql() -> str:
+    ranges = {"year": (M0, M0 + 365 * 1440), "week": (M0, M0 + 7 * 1440), "day": (M0, M0 + 1440)}
+    ctes = []
+    for name, (q, e) in ranges.items():
+        ctes.append(scan_sql(q, e).replace("s AS", f"s_{name} AS", 1).replace("FROM p, s ", f"FROM p, s_{name} s ").replace("hit AS", f"{name} AS"))
+    ctes.append(scan_sql(*ranges["day"], "start_min").replace("s AS", "s_only AS", 1).replace("FROM p, s ", "FROM p, s_only s ").replace("hit AS", "starts AS"))
+    other = [vec_sql(str(x), str(y)) for x, y in OTHER]
+    region = lambda source, r: f"(SELECT count(*) FROM (SELECT *, {BOX} FROM {source}) WHERE {intersects_sql(NAMES, r)})"
+    spots = " OR ".join(f"({contains_sql(NAMES, vec_sql(str(x), str(y)))})" for x, y in PLACES)
+    places = lambda source: f"(SELECT count(*) FROM (SELECT *, {BOX} FROM {source}) WHERE {spots})"
+    whole = lambda source: f"(SELECT count(*) FROM {source})"
+    rows = {
+        "region": region("p", REGION_SQL), "other region, year": region("year", other), "other region, week": region("week", other), **{f"region, {k}": region(k, REGION_SQL) for k in ranges},
+        "region, year, limit": f"least(100, {region('year', REGION_SQL)})", "places": places("p"), "places, limit": f"least(100, {places('p')})", "places, year": places("year"), "year": whole("year"),
+        "year, limit": f"least(100, {whole('year')})", "day": whole("day"), "day, starts": whole("starts"),
+    }
+    return f"{PRODUCTS_SQL}, {', '.join(ctes)} " + " UNION ALL ".join(f"SELECT '{k}' AS name, {v}::BIGINT AS n" for k, v in rows.items())
+
+
+@query("benchmark_searches", _benchmarks_sql())
+def benchmark_searches(spark, d):
+    return B.counts(products(spark, d), B.searches(REGION_WKT, S.write_wkt(OTHER), PLACES, "1997-01-01"))
 
 
 @query("counts", f"{PRODUCTS_SQL} SELECT count(*) AS products, count(start_min) AS timed FROM p")
