@@ -200,7 +200,7 @@ def cell_area(level: int = DEFAULT_LEVEL) -> float:
     return 4 * np.pi / (6 * 4**level)
 
 
-# Columns.
+# Columns. The vectorised ones count as nondeterministic, as in sphere: they stay where a plan puts them.
 
 
 def wkt_covering(wkt: Column, level: int = DEFAULT_LEVEL) -> Column:
@@ -215,7 +215,7 @@ def wkt_covering(wkt: Column, level: int = DEFAULT_LEVEL) -> Column:
                     out[row] = cells
         return pd.Series(out)
 
-    return run(wkt)
+    return run.asNondeterministic()(wkt)
 
 
 def point_cell(lon: Column, lat: Column, level: int = DEFAULT_LEVEL) -> Column:
@@ -225,7 +225,7 @@ def point_cell(lon: Column, lat: Column, level: int = DEFAULT_LEVEL) -> Column:
     def run(lons: pd.Series, lats: pd.Series) -> pd.Series:
         return pd.Series(int_of(cell_ids(xyz(lons.to_numpy(float), lats.to_numpy(float)), level)), dtype="int32")
 
-    return run(lon, lat)
+    return run.asNondeterministic()(lon, lat)
 
 
 def as_int(cell: Column) -> Column:

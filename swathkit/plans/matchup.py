@@ -67,6 +67,30 @@ def _kind(lo: Column, hi: Column) -> Column:
     return F.when(lo.isNull() | hi.isNull(), ALWAYS).when(n <= MAX_BUCKETS, 0).when(n <= BLOCK * MAX_BUCKETS, 1).otherwise(ALWAYS)
 
 
+def _kinds(what) -> list[int]:
+    """The kinds that a search's windows can have."""
+    of = lambda days: 0 if days <= MAX_BUCKETS else 1 if days <= BLOCK * MAX_BUCKETS else ALWAYS
+    out = {ALWAYS if None in (r.start_min, r.end_min) else of(r.end_min // DAY - r.start_min // DAY) for r in what.all_ranges}
+    if what.delta_ms is not None:
+        days = 2 * what.delta_ms // (60_000 * DAY)
+        out |= {of(days), of(days + 2)}
+    return sorted(out)
+
+
+def _in_reach(what) -> Column:
+    """Whether a product can match any window at all, by its stored times alone, so that a scan can leave the others out."""
+    reach = 2 * (what.delta_ms or 0) // 60_000 + 2
+    timed = F.col("start_min").isNull()
+    for r in what.all_ranges:
+        one = F.lit(True)
+        if r.start_min is not None:
+            one = one & ((F.col("end_min") >= r.start_min - reach) | (F.col("start_min") >= r.start_min - reach))
+        if r.end_min is not None:
+            one = one & (F.col("start_min") < r.end_min + reach)
+        timed = timed | one
+    return timed
+
+
 def _stretches(kind: Column, lo: Column, hi: Column, *more: Column) -> Column:
     """The buckets of an interval by a kind: numbers of days, of blocks, or 0."""
     first, last = _day(lo), F.greatest(_day(lo), _day(hi))
@@ -92,15 +116,16 @@ def _pairs(products: DataFrame, points: DataFrame, what, level: int) -> DataFram
     """candidates(), with a pair more than once if it meets in several windows or stretches."""
     w = windows(points, what)
     reference = what.time_rule == "reference"
-    p = products if "cells" in products.columns else products.withColumn("cells", C.wkt_covering(F.col("wkt"), level))
+    p = products.filter(_in_reach(what))
+    p = p if "cells" in p.columns else p.withColumn("cells", C.wkt_covering(F.col("wkt"), level))
     p = p.select("path", "start_min", "end_min", "ingest_seq", "wkt", "cells")
     if reference:
         w = w.join(predecessors(products, w), "lo", "left")
     w = w.withColumn("cell", C.point_cell(F.col("lon"), F.col("lat"), level))
-    kinds = F.array(*[F.lit(k) for k in range(ALWAYS + 1)])
+    kinds, of_windows = (F.array(*[F.lit(k) for k in x]) for x in (range(ALWAYS + 1), _kinds(what)))
     start, end = F.col("start_min"), F.col("start_min" if reference else "end_min")
     lo, hi = F.col("lo"), F.col("hi")
-    mine = _met(p, kinds, start, end, "p_kind", "w_kind", F.col("ingest_seq")).withColumn("cell", F.explode("cells")).drop("cells")
+    mine = _met(p, of_windows, start, end, "p_kind", "w_kind", F.col("ingest_seq")).withColumn("cell", F.explode("cells")).drop("cells")
     theirs = _met(w, F.array(F.lit(0), F.lit(ALWAYS)) if reference else kinds, lo, hi, "w_kind", "p_kind", F.col("rec_id"), *([F.col("last_start")] if reference else []))
     pairs = mine.join(theirs, ["cell", "p_kind", "w_kind", "bucket", "salt"])
     late = F.when(F.col("timed") | F.lit(not what.start_only), F.col("end_min")).otherwise(start) >= lo

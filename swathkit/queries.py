@@ -51,9 +51,10 @@ def with_box(df: DataFrame) -> DataFrame:
 
 def order_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, x = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), load(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate")
-    t = x.groupBy("l_orderkey").agg(F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("b")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    # k is an aggregate, so that what is computed from it, geometry above all, is not pushed down to the rows of lineitem.
+    t = x.groupBy("l_orderkey").agg(F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("b"), F.max("l_orderkey").alias("k")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     first, last = F.least("o_orderdate", "a"), F.greatest("o_orderdate", "b")
-    return t.select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("path"), start_minute(millis(first)).alias("start_min"), end_minute(millis(last)).alias("end_min"), F.col("o_orderkey").alias("k"), F.col("o_orderkey").alias("ingest_seq"))
+    return t.select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("path"), start_minute(millis(first)).alias("start_min"), end_minute(millis(last)).alias("end_min"), "k", F.col("k").alias("ingest_seq"))
 
 
 def timeless_products(spark: SparkSession, sf_dir: str) -> DataFrame:
