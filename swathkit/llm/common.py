@@ -42,6 +42,25 @@ def shared_root(spark: SparkSession) -> str:
 
 
 _ROOTS: set[str] = set()
+_SCOPES: list[Scope] = []
+
+
+class Scope:
+    """While it is entered, scratch() gives paths in a folder of its own, which delete() removes."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, scratch(spark, name)
+
+    def __enter__(self) -> Scope:
+        _SCOPES.append(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        _SCOPES.remove(self)
+
+    def delete(self) -> None:
+        fs, p = _at(self.spark, self.path)
+        fs.delete(p, True)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -52,7 +71,7 @@ def scratch(spark: SparkSession, name: str) -> str:
         fs.mkdirs(p)
         fs.deleteOnExit(p)
         _ROOTS.add(root)
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    return f"{_SCOPES[-1].path if _SCOPES else root}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

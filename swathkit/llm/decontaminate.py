@@ -9,7 +9,7 @@ one automaton, built once per Python worker. A larger benchmark takes several pa
 
 Defined results: null and empty texts have no words and no hits; items without words (or with a null id) have no
 windows; repeated items count once per distinct item_id; an empty benchmark leaves every document clean; repeated
-document rows each get their row. Extra columns are ignored.
+document rows each get their row. Very long texts are scanned whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,11 +32,12 @@ WINDOW = 10
 MAX_WINDOW_BYTES = 16 << 20
 #: Bytes of UTF-8: what separates words becomes a space, A-Z become a-z.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # before A-Z become a-z
 
 HITS = T.StructType([
     T.StructField("rid", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()),
     T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType())),
+    T.StructField("char_starts", T.ArrayType(T.LongType())), T.StructField("char_ends", T.ArrayType(T.LongType())),
 ])
 
 
@@ -101,10 +102,12 @@ def scanner_of(share, size: int) -> Scanner:
 
 def spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Runs of words as (start, end) character offsets in the original text."""
+    if not runs:
+        return []
     raw = text.encode()
-    at = [(m.start(), m.end()) for m in WORD.finditer(raw.translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))))]
-    chars = lambda b: len(raw[:b].decode())
-    return [(chars(at[a][0]), chars(at[b - 1][1])) for a, b in runs]
+    at = [(m.start(), m.end()) for m in WORD.finditer(raw)]
+    chars = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])  # characters before each byte
+    return [(int(chars[at[a][0]]), int(chars[at[b - 1][1]])) for a, b in runs]
 
 
 def shares(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[str, bytes]]]:
@@ -120,14 +123,16 @@ def shares(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[
 def _scanned(share, size: int, only_hits: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = scanner_of(share, size)
-        schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+        schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("char_starts", pa.list_(pa.int64())), ("char_ends", pa.list_(pa.int64()))])
 
         def rows():
             for b in batches:
                 for rid, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                    n, runs, ids = scanner.scan(text.as_py())
+                    raw = text.as_py()
+                    n, runs, ids = scanner.scan(raw)
                     if runs or not only_hits:
-                        yield rid, doc, n, [x for x, _ in runs], [x for _, x in runs], sorted(ids)
+                        chars = spans(raw.decode(), runs)
+                        yield rid, doc, n, [x for x, _ in runs], [x for _, x in runs], sorted(ids), [x for x, _ in chars], [x for _, x in chars]
 
         yield from batches_of(schema, rows(), 2000)
 
@@ -135,7 +140,7 @@ def _scanned(share, size: int, only_hits: bool):
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
-    """Per row of docs: rid, doc_id, n_words, starts and ends of hit word runs, items (sorted ids of the items found)."""
+    """Per row of docs: rid, doc_id, n_words, starts and ends of hit word runs, items (sorted ids of the items found), and char_starts and char_ends, the same runs as character offsets in the original text."""
     spark = prepare(docs.sparkSession)
     base = documents(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.col("text").cast("binary").alias("text"))
     parts = shares(benchmark, item_col, item_text)
@@ -146,7 +151,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     out = base.mapInArrow(_scanned(spark.sparkContext.broadcast(parts[0]), size, False), HITS)
     for p in parts[1:]:
         out = out.unionByName(base.mapInArrow(_scanned(spark.sparkContext.broadcast(p), size, True), HITS))
-    return out.groupBy("rid", "doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return out.groupBy("rid", "doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("char_starts")).alias("char_starts"), F.flatten(F.collect_list("char_ends")).alias("char_ends"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **names: str) -> DataFrame:

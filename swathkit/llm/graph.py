@@ -1,6 +1,6 @@
 """Connected components of a links table, by alternating large-star and small-star steps.
 
-Every step is an aggregation and a join over written tables; nothing is collected. The links of a hub are joined to one
+Every step is an aggregation and a join over written tables, which go when the next is there; nothing is collected. The links of a hub are joined to one
 row, so adaptive execution can split a hub's partition.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swathkit.llm.common import written
+from swathkit.llm.common import drop, written
 
 MAX_ROUNDS = 60
 
@@ -23,6 +23,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct(), "edges")
     before = _signature(edges)
     for _ in range(MAX_ROUNDS):
+        old = edges
         # large star: neighbours above a node link to the smallest of its neighbourhood
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -32,6 +33,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = written(small.filter("u != v").distinct(), "small-star")
+        drop(old, large)
         after = _signature(edges)
         if after == before:
             break

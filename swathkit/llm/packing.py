@@ -10,7 +10,8 @@ partition give each document its place on the line. Copies that share a key are
 is a hot one.
 
 Defined results: a null or empty text has only the end id; its vector is zero. Null doc_ids sort first within a key. Each
-of several rows with a doc_id is a document by itself. An empty table gives an empty result. Extra columns are ignored.
+of several rows with a doc_id is a document by itself. Very long texts are encoded
+whole and cut freely. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -16,8 +16,8 @@ which no more than 65 exist. This loses nothing and makes no pairs.
 Only distinct fingerprints are joined; copies follow their fingerprint's class.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other. A null doc_id never names a
-component unless all of it is null. Repeated rows each get their row. An empty table gives an empty result. Extra
-columns are ignored.
+component unless all of it is null. Repeated rows each get their row. Very long texts are hashed whole. An empty table gives
+an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations

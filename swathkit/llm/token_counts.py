@@ -1,13 +1,14 @@
 """Token counts under a unigram model, with a trie of distinct pre-tokens.
 
 A text's pre-tokens are its words between [\\x20\\x09-\\x0D]+, each with a word mark before it. The model has the pieces of
-a public vocabulary; as the vocabulary gives ranks and no probabilities, a piece of rank r has the Zipf-Mandelbrot log
-probability -log(r + SHIFT). A character without a piece is its UTF-8 bytes, one token each at a floor score. The count of a
-pre-token is the number of tokens of its best segmentation (the highest score; of equals the fewest tokens).
+a public vocabulary. Tokenizers are not trained here, so no probabilities are estimated; as the vocabulary gives ranks alone, a
+piece of rank r has the Zipf-Mandelbrot log probability -log(r + SHIFT). A character without a piece is its UTF-8 bytes, one
+token each at a floor score. The count of a pre-token is the number of tokens of its best segmentation (the highest score; of
+equals the fewest tokens).
 
 Each task inserts the distinct pre-tokens of a batch in a trie: in sorted order a pre-token shares the path of its
 longest common prefix with the one before, so forward scores (best score and count for each prefix) are computed once a
-trie node and kept on a stack; the counts at terminals go to a bounded cache. Documents need no shuffle.
+trie node and kept on a stack; the counts at terminals go to a cache bounded in words and in bytes. Documents need no shuffle.
 
 Defined results: null and empty texts have no pre-tokens and no tokens. Repeated rows each get their row. An empty table
 gives an empty result. Extra columns are ignored. Pre-tokens of any length are counted whole.
@@ -16,6 +17,7 @@ gives an empty result. Extra columns are ignored. Pre-tokens of any length are c
 from __future__ import annotations
 
 import math
+from collections import ChainMap
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from swathkit.llm.common import documents, prepare, table
 from swathkit.llm.tokens import vocabulary
 
-MARK, SHIFT, CACHE_WORDS = "▁", 2.7, 400_000
+MARK, SHIFT, CACHE_WORDS, CACHE_WORD = "▁", 2.7, 400_000, 64  # words that a task keeps, and bytes of the longest
 
 _MODELS: dict[str, Unigram] = {}
 
@@ -97,8 +99,10 @@ def _counting(path: str):
                 new = {w for words in texts for w in words}
             names = {w: MARK + w.decode("utf-8", "replace") for w in new}
             counts = shared_prefix_counts(names.values(), uni)
-            cache.update((w, counts[s]) for w, s in names.items())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(w) for w in texts], pa.int64()), pa.array([sum(map(cache.__getitem__, w)) for w in texts], pa.int64())], names=["doc_id", "n_words", "n_tokens"])
+            cache.update((w, counts[s]) for w, s in names.items() if len(w) <= CACHE_WORD)
+            long = {w: counts[s] for w, s in names.items() if len(w) > CACHE_WORD}
+            get = ChainMap(long, cache).__getitem__ if long else cache.__getitem__
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(w) for w in texts], pa.int64()), pa.array([sum(map(get, w)) for w in texts], pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
     return run
 

@@ -16,6 +16,7 @@ frames. Extra columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
 import io
 import struct
 import uuid
@@ -141,17 +142,17 @@ def _writing(path: str, vocab: str, kind: str, dtype: str, end_id: int):
         enc, end = encoder(vocab, kind, dtype), np.asarray(end_id, dtype).tobytes()
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}.ids.zst"
-        writer = out = None
-        for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if writer is None:
-                    fs.create_dir(folder, recursive=True)
-                    out = fs.open_output_stream(f"{folder}/{name}", compression=None)
-                    writer = Writer(out, dtype)
-                writer.add(doc, enc.encode(text.as_py()) + end)
+        writer = None
+        with contextlib.ExitStack() as open_files:  # closes the file of a task that fails, too
+            for b in batches:
+                for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    if writer is None:
+                        fs.create_dir(folder, recursive=True)
+                        writer = Writer(open_files.enter_context(fs.open_output_stream(f"{folder}/{name}", compression=None)), dtype)
+                    writer.add(doc, enc.encode(text.as_py()) + end)
+            if writer:
+                writer.close()
         if writer:
-            writer.close()
-            out.close()
             yield pa.RecordBatch.from_pydict({"file_no": pa.array([part], pa.int64()), "file": [name], "n_docs": pa.array([len(writer.docs)], pa.int64()), "n_ids": pa.array([sum(writer.lengths)], pa.int64())})
 
     return run

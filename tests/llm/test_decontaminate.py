@@ -64,3 +64,14 @@ def test_spans_in_the_original():
     n, runs, ids = scan.scan(text.encode())
     assert (n, ids) == (len(words(text)), {"a"})
     assert [text[a:b] for a, b in D.spans(text, runs)] == ["The LAZY--dog", "the\tlazy dog"]
+
+
+def test_hits_carry_offsets_in_the_original(spark, sf_dir, documents):
+    """The text between a hit's offsets is, as words, the run of words that is hit."""
+    text = dict(documents)
+    rows = D.find_hits(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("size(starts) > 0").collect()
+    assert rows
+    for r in rows:
+        w = words(text[r.doc_id])
+        for a, b, x, y in zip(r.starts, r.ends, r.char_starts, r.char_ends, strict=True):
+            assert words(text[r.doc_id][x:y]) == w[a:b]
