@@ -1,7 +1,11 @@
 """A corpus from documents: each stage works on all that the one before kept.
 
 Rows are told apart by (doc_id, hash of the text), so rows that share a doc_id are judged one by one; of rows that repeat
-both, exact dedup keeps one. Stages that filter keep all columns.
+both, exact dedup keeps one. Stages that filter keep all columns, those with clashing names too.
+
+Defined results, in every stage: a null text counts as empty, and stays null in what is kept; null doc_ids are kept and judged
+like others, and sort last where the smallest id stays; very long texts are judged whole; ties and repeated rows get equal
+decisions, but for the one copy that a dedup keeps; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from swathkit.llm import decontaminate as leaks
 from swathkit.llm import exact_dedup as exact
 from swathkit.llm import packing, simhash
 from swathkit.llm import quality as pu
-from swathkit.llm.common import fresh_names, prepare, table, written
+from swathkit.llm.common import Scope, drop, fresh_names, prepare, table, written
 from swathkit.llm.tokens import vocabulary
 
 
@@ -65,8 +69,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and reread."""
+    """All stages over documents, each written and reread; only the last one's input and tables outlive it."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with Scope(spark, name) as scope:
+            out = stage(spark, docs, sf_dir)
+        docs = written(out, f"stage-{name}")
+        scope.delete()  # what the stage wrote on its way, and the stage before
+        if before is not None:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
