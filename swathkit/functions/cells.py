@@ -144,6 +144,68 @@ def coverings(rings: np.ndarray, level: int = DEFAULT_LEVEL) -> list[list[int]]:
     return [sorted(x) for x in out]
 
 
+def cell_union(ring: np.ndarray, max_level: int = DEFAULT_LEVEL, min_level: int = 0, max_cells: int = 500) -> list[int]:
+    """Sorted 64-bit ids, as signed numbers, of cells of mixed levels that together hold the ring's inside.
+
+    From the faces down, cells wholly inside are kept, and those near an edge are replaced by their four parts that meet the
+    ring, as long as no more than max_cells would be left and max_level is not reached. Four cells of one parent become it,
+    unless it is above min_level. More than max_cells come of min_level alone.
+    """
+    cells = np.array([(f, 0, 0) for f in range(6)], np.int64)
+    done: dict[int, list[np.ndarray]] = {}
+    n_done = 0
+    for level in range(max_level + 1):
+        face, i, j = cells.T
+        at = lambda a, b: uv_xyz(face, st_to_uv((i + a) / (1 << level)), st_to_uv((j + b) / (1 << level)))  # noqa: B023, E731
+        centre = at(0.5, 0.5)
+        radius = np.max([2 * np.arcsin(np.linalg.norm(at(a, b) - centre, axis=-1) / 2) for a in (0.0, 1.0) for b in (0.0, 1.0)], axis=0) + 1e-9
+        inside, away = contains(ring, centre), distance(centre, ring)
+        meets, whole = inside | (away <= radius), inside & (away > radius)
+        cells, whole = cells[meets], whole[meets]
+        parts = cells[~whole]
+        last = level == max_level or (level >= min_level and n_done + whole.sum() + 4 * len(parts) > max_cells)
+        if last or level >= min_level:
+            keep = cells if last else cells[whole]
+            done.setdefault(level, []).append(keep)
+            n_done += len(keep)
+            if last:
+                break
+            cells = parts
+        cells = np.concatenate([cells * [1, 2, 2] + [0, a, b] for a in (0, 1) for b in (0, 1)])
+    out: list[int] = []
+    merged = np.empty((0, 3), np.int64)
+    for level in range(max(done, default=0), -1, -1):
+        own = np.unique(np.concatenate([merged, *done.get(level, [])]), axis=0)
+        merged = merged[:0]
+        if level > min_level and len(own):
+            up, back, count = np.unique(own // [1, 2, 2], axis=0, return_inverse=True, return_counts=True)
+            full = count[back.ravel()] == 4
+            merged, own = up[count == 4], own[~full]
+        if len(own):
+            out += id_of_ij(own[:, 0], own[:, 1], own[:, 2], level).view(np.int64).tolist()
+    return sorted(out)
+
+
+def wkt_cell_union(wkt: Column, max_level: int = DEFAULT_LEVEL, min_level: int = 0, max_cells: int = 500) -> Column:
+    """array<bigint> of cell_union() of each WKT footprint."""
+
+    @F.pandas_udf("array<bigint>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else cell_union(ring_of(t), max_level, min_level, max_cells) for t in texts])
+
+    return run.asNondeterministic()(wkt)
+
+
+def leaf_cell(lon: Column, lat: Column) -> Column:
+    """64-bit id, as a signed number, of each point's cell of the last level."""
+
+    @F.pandas_udf("bigint")
+    def run(lons: pd.Series, lats: pd.Series) -> pd.Series:
+        return pd.Series(cell_ids(xyz(lons.to_numpy(float), lats.to_numpy(float))).view(np.int64))
+
+    return run.asNondeterministic()(lon, lat)
+
+
 def interior(ring: np.ndarray, level: int = DEFAULT_LEVEL) -> list[int]:
     """Sorted ids of cells that lie wholly inside."""
     ids, centre, radius = grid(level)
@@ -254,7 +316,7 @@ def range_max(x: Column) -> Column:
 
 
 def covering_contains(cells: Column, cell: Column) -> Column:
-    """Whether a covering of any levels has a cell or one of its ancestors."""
+    """Whether a covering of any levels has a cell or one of its ancestors. A cell's range does not leave its face, nor so the sign."""
     return F.exists(cells, lambda c: (range_min(c) <= cell) & (cell <= range_max(c)))
 
 

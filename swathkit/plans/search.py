@@ -203,16 +203,21 @@ def search(products: DataFrame, what: Search, level: int = C.DEFAULT_LEVEL) -> D
 def with_positions(products: DataFrame) -> DataFrame:
     """Adds pid, the 0-based position in start order (products without times first).
 
-    Rows are numbered within days, and days get the sum of those before: no partition holds all rows, and the table of
-    sums has a row a day.
+    Rows are numbered within the minute they start in (those without times within a stretch of places), minutes within days get
+    the sum of those before, and days that of the days before: no partition holds all rows, nor all of a day, and the
+    table of sums has a row a day.
     """
-    day = F.when(F.col("start_min").isNull(), F.lit(0)).otherwise(F.lit(1))
-    keyed = products.withColumns({"_timed": day, "_day": F.when(F.col("start_min").isNull(), F.shiftright(F.col("ingest_seq"), 20)).otherwise(F.floor(F.col("start_min") / 1440).cast("long"))})
-    sums = keyed.groupBy("_timed", "_day").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_timed", "_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sums.select("_timed", "_day", before.alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_timed", "_day").orderBy("start_min", "ingest_seq"))
-    return keyed.withColumn("_k", within).join(offsets, ["_timed", "_day"]).withColumn("pid", F.col("_before") + F.col("_k") - 1).drop("_timed", "_day", "_k", "_before")
+    timed = F.when(F.col("start_min").isNull(), F.lit(0)).otherwise(F.lit(1))
+    slot = F.when(F.col("start_min").isNull(), F.shiftright(F.col("ingest_seq"), 20)).otherwise(F.col("start_min").cast("long"))
+    keyed = products.withColumns({"_timed": timed, "_slot": slot})
+    slots = keyed.groupBy("_timed", "_slot").agg(F.count("*").alias("_n")).withColumn("_day", F.floor(F.col("_slot") / 1440))
+    ahead = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = slots.groupBy("_timed", "_day").agg(F.sum("_n").alias("_n"))
+    days = days.select("_timed", "_day", ahead(Window.orderBy("_timed", "_day")).alias("_days_before"))
+    within = slots.withColumn("_before", ahead(Window.partitionBy("_timed", "_day").orderBy("_slot")))
+    offsets = within.join(days, ["_timed", "_day"]).select("_timed", "_slot", (F.col("_before") + F.col("_days_before")).alias("_before"))
+    number = F.row_number().over(Window.partitionBy("_timed", "_slot").orderBy("ingest_seq"))
+    return keyed.withColumn("_k", number).join(offsets, ["_timed", "_slot"]).withColumn("pid", F.col("_before") + F.col("_k") - 1).drop("_timed", "_slot", "_k", "_before")
 
 
 def footprint_contains(products: DataFrame, lon: float, lat: float, level: int = C.DEFAULT_LEVEL) -> DataFrame:

@@ -14,8 +14,7 @@ def box(x, y, a, b):
 def test_wkt():
     ring = S.read_wkt("polygon((-71.00 41, -52 41,-52 5.2e1, -71 52, -71 41))")
     assert ring == [(-71, 41), (-52, 41), (-52, 52), (-71, 52)] == S.read_wkt(S.write_wkt(ring))
-    assert S.read_wkt("MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((5 5, 6 5, 6 6, 5 5)))") == [(0, 0), (1, 0), (1, 1)]
-    for bad in ("POINT (1 2)", "", "POLYGON ((1 2, 3 4))", None):
+    for bad in ("POINT (1 2)", "", "POLYGON ((1 2, 3 4))", "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((5 5, 6 5, 6 6, 5 5)))", None):
         with pytest.raises(ValueError):
             S.read_wkt(bad)
 
@@ -86,3 +85,28 @@ def test_columns_agree_with_numpy(spark):
     leaf = C.cell_ids(S.xyz(np.array([10.0]), np.array([42.0])))
     one = spark.createDataFrame([(int(leaf[0].view(np.int64)),)], "c long").select(C.as_int(F.col("c"))).first()[0]
     assert one == int(ids[0]) >> 34
+
+
+def test_polygon_equality():
+    a = "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0))"
+    assert S.same_polygon(a, "POLYGON((10 10,0 10,0 0,10 0,10 10))") and S.same_polygon(a, "POLYGON ((0 0, 0 10, 10 10, 10 0, 0 0))")
+    assert not S.same_polygon(a, "POLYGON ((0 0, 10 0, 10 10, 0 11, 0 0))") and not S.same_polygon(a, "POLYGON ((0 0, 10 0, 10 10, 0 0))")
+
+
+def test_cell_unions_hold_the_ring():
+    """Points inside a ring are in its cells of mixed levels; bounds on levels and number hold; more cells fit closer."""
+    rng = np.random.default_rng(4)
+    for ring in (box(0, 0, 10, 10), box(-70, 41, 19, 11), S.ring_of("POLYGON ((170 60, -150 60, -140 85, 160 85, 170 60))"), S.ring_of("POLYGON ((0 70, 90 70, 180 70, -90 70, 0 70))")):
+        points = S.xyz(rng.uniform(-180, 180, 40_000), np.degrees(np.arcsin(rng.uniform(-1, 1, 40_000))))
+        leaves = C.cell_ids(points[S.contains(ring, points)])
+        sizes = []
+        for most in (6, 20, 500):
+            ids = np.array(C.cell_union(ring, 8, 0, most), np.int64).view(np.uint64)
+            low = ids & (~ids + np.uint64(1))
+            held = ((leaves[:, None] >= ids - (low - np.uint64(1))) & (leaves[:, None] <= ids + (low - np.uint64(1)))).any(axis=1)
+            assert held.all() and len(leaves) and 0 < len(ids) <= most
+            levels = 30 - np.log2(low.astype(float)).astype(int) // 2
+            assert levels.max() <= 8
+            sizes.append(float((4 * np.pi / (6 * 4.0 ** levels)).sum()))
+        assert sizes[0] >= sizes[1] >= sizes[2] >= S.area(ring) * 0.8
+        assert all(30 - (int(x) & -int(x)).bit_length() // 2 >= 3 for x in C.cell_union(ring, 5, 3))
