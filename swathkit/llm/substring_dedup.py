@@ -6,8 +6,9 @@ surrounds anchors with equal grams finds every repeat. The windows of one anchor
 cover are the anchor's stretch.
 
 1. Scan: one row an anchor (about one in GAP/2 bytes) with the hash of its gram and a BLAKE2 hash of its stretch.
-2. Grams that occur once are done. If a stretch occurs twice, all its windows repeat.
-3. Grams with several different stretches are contested: of each stretch one copy is compared with the others. A second scan
+2. Grams that occur once are done. If a stretch occurs twice, all its windows repeat. A second scan groups the stretches that
+   count as equal by their bytes, each once a task; if they differ, all stretches of that gram go to 3.
+3. Grams with several different stretches are contested: of each stretch one copy is compared with the others. A third scan
    fetches the bytes around just these anchors (found by a bitmap of bounded size). Within a gram's group the right
    contexts, and the reversed left ones, are suffix-sorted: prefix polynomial hashes and binary search give the longest
    common extension of two, so a mergesort needs a logarithmic number of steps a comparison; neighbours' extensions are
@@ -22,8 +23,7 @@ Defined results: texts are UTF-8 bytes; null and empty texts have no bytes and n
 stay whole. Repeated rows (same doc_id and text) repeat each other and get equal results. A null doc_id is like any id.
 An empty table gives an empty result. Extra columns are ignored. Very long texts are scanned whole, in one pass each.
 
-What rests on a digest: that stretches with the same gram are equal if their 64-bit BLAKE2b are (2). All else is compared by
-its bytes.
+No removal rests on a hash alone: equal stretches, extensions and windows are compared by their bytes.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swathkit.llm.common import batches_of, bitmap, documents, in_bitmap, partitions, prepare, presence_filter, skew_join, table, written
+from swathkit.llm.common import Scope, batches_of, bitmap, documents, drop, in_bitmap, partitions, prepare, presence_filter, skew_join, table, written
 
 SIZE, GRAM, MAX_GROUP = 200, 48, 4_000
 GAP = SIZE - GRAM + 1  # grams in a window
@@ -107,23 +107,53 @@ def row_key(th: np.ndarray | int, pos: np.ndarray) -> np.ndarray:
     return th % (1 << 40) + pos * 1_000_003
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        parts: list[list[np.ndarray]] = [[] for _ in range(7)]
-        docs, hashes, spans = [], [], []
-        for doc, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-            raw = text.as_py()
-            found = anchors(raw)
-            k = len(found[0])
-            if not k:
-                continue
-            docs += [doc] * k
-            hashes += [th] * k
-            for p, x in zip(parts, found, strict=False):
-                p.append(x)
-            spans += [int.from_bytes(hashlib.blake2b(raw[x : y + SIZE], digest_size=8).digest(), "little", signed=True) for x, y in zip(found[1].tolist(), found[2].tolist(), strict=True)]
-        if docs:
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hashes, pa.int64()), *(pa.array(np.concatenate(p)) for p in parts[:4]), pa.array(spans, pa.int64())], names=["doc_id", "th", "pos", "lo", "hi", "khash", "span"])
+def span_hashes(raw: bytes, lo: np.ndarray, hi: np.ndarray, bits: int) -> list[int]:
+    """BLAKE2 hashes of stretches, of which so many bits count."""
+    digest = lambda x, y: int.from_bytes(hashlib.blake2b(raw[x : y + SIZE], digest_size=8).digest(), "little", signed=True)
+    out = [digest(x, y) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+    return out if bits == 64 else [x & ((1 << bits) - 1) for x in out]
+
+
+def _scan(span_bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts: list[list[np.ndarray]] = [[] for _ in range(7)]
+            docs, hashes, spans = [], [], []
+            for doc, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                raw = text.as_py()
+                found = anchors(raw)
+                k = len(found[0])
+                if not k:
+                    continue
+                docs += [doc] * k
+                hashes += [th] * k
+                for p, x in zip(parts, found, strict=False):
+                    p.append(x)
+                spans += span_hashes(raw, found[1], found[2], span_bits)
+            if docs:
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hashes, pa.int64()), *(pa.array(np.concatenate(p)) for p in parts[:4]), pa.array(spans, pa.int64())], names=["doc_id", "th", "pos", "lo", "hi", "khash", "span"])
+
+    return run
+
+
+def _stretches(repeated, span_bits: int):
+    """(khash, span, stretch) of anchors whose stretch may be among the repeated ones, each different one once a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = repeated.value
+        schema = pa.schema([("khash", pa.int64()), ("span", pa.int64()), ("stretch", pa.binary())])
+        for b in batches:
+            seen: set[tuple[int, int, bytes]] = set()
+            for text in b.column(2):
+                raw = text.as_py()
+                pos, lo, hi, khash = anchors(raw)
+                if len(pos):
+                    spans = np.array(span_hashes(raw, lo, hi, span_bits), np.int64)
+                    for k in np.flatnonzero(in_bitmap(bits, khash ^ spans)).tolist():
+                        seen.add((int(khash[k]), int(spans[k]), raw[int(lo[k]) : int(hi[k]) + SIZE]))
+            yield from batches_of(schema, iter(seen))
+
+    return run
 
 
 def _fetch(needed):
@@ -315,23 +345,39 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_repeats(base: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
-    """(doc_id, th, start, end): byte ranges made of repeated windows; base has doc_id, th and text as bytes."""
+def unequal_grams(base: DataFrame, repeated: DataFrame, span_bits: int) -> DataFrame | None:
+    """khash of grams with stretches that count as equal but are not, by their bytes; None for none."""
+    n = repeated.count()
+    if not n:
+        return None
+    bits = base.sparkSession.sparkContext.broadcast(bitmap(repeated, F.col("khash").bitwiseXOR(F.col("span")), n))
+    different = base.mapInArrow(_stretches(bits, span_bits), "khash long, span long, stretch binary").groupBy("khash", "span", "stretch").agg(F.count("*").alias("n"))
+    several = written(different.groupBy("khash", "span").agg(F.count("*").alias("n")).filter("n > 1").join(repeated.select("khash", "span"), ["khash", "span"], "left_semi").select("khash").distinct(), "unequal-grams")
+    return None if several.isEmpty() else several
+
+
+def find_repeats(base: DataFrame, max_group: int = MAX_GROUP, span_bits: int = 64) -> DataFrame:
+    """(doc_id, th, start, end): byte ranges made of repeated windows; base has doc_id, th and text as bytes. span_bits: only tests take fewer, to see that unequal stretches are told apart."""
     spark = base.sparkSession
-    found = written(base.mapInArrow(_scan, ROW + ", span long"), "anchors")
+    found = written(base.mapInArrow(_scan(span_bits), ROW + ", span long"), "anchors")
     grams = written(found.groupBy("khash").agg(F.count("*").alias("n")).filter("n > 1"), "repeated-grams")
     n_grams, total = grams.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     shared = skew_join(presence_filter(found, F.col("khash"), grams, F.col("khash"), n_grams), grams, "khash", "n", total).drop("n")
     shared = written(shared, "shared-anchors")
+    drop(found, grams)
     who = F.struct("doc_id", "th", "pos")
     stretches = written(shared.groupBy("khash", "span").agg(F.count("*").alias("copies"), F.min(who).alias("one")), "stretches")
-    several = stretches.groupBy("khash").agg(F.count("*").alias("n")).filter("n > 1")
+    unequal = unequal_grams(base, stretches.filter("copies > 1"), span_bits)
+    equal = stretches if unequal is None else stretches.join(unequal, "khash", "left_anti")
+    several = equal.groupBy("khash").agg(F.count("*").alias("n")).filter("n > 1")
     n_several, rows_several = several.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    contested = skew_join(stretches, several, "khash", "n", rows_several)
-    need = written(contested.select(F.col("one.th").alias("th"), F.col("one.pos").alias("pos")), "contested")
-    copied = skew_join(shared, stretches.filter("copies > 1").select("khash", "span", "copies"), ["khash", "span"], "copies", total)
+    need = skew_join(equal, several, "khash", "n", rows_several).select(F.col("one.th").alias("th"), F.col("one.pos").alias("pos"))
+    if unequal is not None:
+        need = need.unionByName(shared.join(unequal, "khash", "left_semi").select("th", "pos"))
+    need = written(need, "contested")
+    copied = skew_join(shared, equal.filter("copies > 1").select("khash", "span", "copies"), ["khash", "span"], "copies", total)
     whole = copied.select("doc_id", "th", F.col("lo").alias("start"), (F.col("hi") + SIZE).alias("end"))
-    if not n_several:
+    if not n_several and unequal is None:
         return whole
     bits = spark.sparkContext.broadcast(bitmap(need, F.pmod("th", F.lit(1 << 40)) + F.col("pos") * 1_000_003, need.count()))
     around = written(base.mapInArrow(_fetch(bits), ROW + ", left binary, right binary"), "contexts")
@@ -352,11 +398,14 @@ def find_repeats(base: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     return whole.unionByName(ranges)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_group: int = MAX_GROUP) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_group: int = MAX_GROUP, span_bits: int = 64) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
     base = documents(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
-    ranges = written(find_repeats(base, max_group), "ranges")
+    with Scope(spark, "substrings") as scope:
+        found = find_repeats(base, max_group, span_bits)
+    ranges = written(found, "ranges")
+    scope.delete()
     by_doc = ranges.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     joined = base.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left").select("doc_id", "text", "ranges")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -61,6 +61,13 @@ def test_planted_passages(spark, most):
     assert rows_of(X.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), max_group=most), *COLUMNS) == brute(docs)
 
 
+@pytest.mark.parametrize("bits", [0, 3])
+def test_colliding_stretches_are_told_apart(spark, documents, bits):
+    """With digests of stretches that often collide, their bytes decide."""
+    for docs in (planted(7), documents[:60]):
+        assert rows_of(X.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), span_bits=bits), *COLUMNS) == brute(docs)
+
+
 def test_suffix_sort_and_collisions(monkeypatch):
     rng = np.random.default_rng(3)
     rows = rng.integers(97, 99, (300, 24)).astype(np.uint8)
