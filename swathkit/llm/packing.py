@@ -29,6 +29,7 @@ from swathkit.llm.common import batches_of, documents, partitions, prepare, tabl
 from swathkit.llm.tokens import encoder, vocabulary
 
 SIZE, END_ID, DIMS, BITS, SEED = 2048, 1, 4, 8, 20240501
+PLACES, LEAST_PARTS = 1 << 20, 8  # rows (of 32 bytes) that a partition of the curve has at most, and partitions at least
 
 
 def directions(n_ids: int, dims: int = DIMS, seed: int = SEED) -> np.ndarray:
@@ -143,7 +144,8 @@ def pack(docs: DataFrame, vocab: str, kind: str = "byte", dtype: str = "<u2", si
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with_ids adds the piece's ids."""
     spark = prepare(docs.sparkSession)
     tokens = written(documents(docs, id_col, text_col).mapInArrow(_encoding(vocab, kind, dtype, end_id), "rid long, doc_id long, key long, n long, ids binary"), "tokens")
-    order = tokens.select("rid", "key", "doc_id", "n").repartitionByRange(partitions(spark), "key", "doc_id", "rid").sortWithinPartitions("key", "doc_id", "rid")
+    parts = max(min(partitions(spark), LEAST_PARTS), -(-tokens.count() // PLACES))
+    order = tokens.select("rid", "key", "doc_id", "n").repartitionByRange(parts, "key", "doc_id", "rid").sortWithinPartitions("key", "doc_id", "rid")
     places = written(order.select("rid", "n").mapInArrow(_placing, "rid long, part long, local long, n long"), "places")
     sums = sorted((r[0], r[1]) for r in places.groupBy("part").agg(F.sum("n")).collect())  # one row a partition
     bases, total = [], 0
@@ -153,7 +155,8 @@ def pack(docs: DataFrame, vocab: str, kind: str = "byte", dtype: str = "<u2", si
     base = F.broadcast(spark.createDataFrame(bases, "part long, base long"))
     placed = places.join(base, "part").select("rid", (F.col("base") + F.col("local")).alias("place"))
     out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return tokens.drop("key").join(placed, "rid").mapInArrow(_cutting(dtype, total, size, with_ids), out)
+    # Places are small beside ids: a hash table of a partition's places spares sorting its ids.
+    return tokens.drop("key").join(placed.hint("shuffle_hash"), "rid").mapInArrow(_cutting(dtype, total, size, with_ids), out)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
