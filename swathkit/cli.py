@@ -38,6 +38,14 @@ def build_search(spark: SparkSession, words: list[str]) -> Search:
     return what
 
 
+def dump_to_file(catalog: Catalog, path: str) -> None:
+    """All products as one list file: written in parts, in order, which are then joined."""
+    parts, files = f"{path}.parts", catalog.files
+    catalog.dump().write.mode("overwrite").text(parts)
+    files.concat([f"{parts}/{n}" for n in files.names(parts, "part-")], path)
+    files.delete(parts)
+
+
 def main(args: list[str], spark: SparkSession | None = None) -> int:
     if len(args) < 2 or args[0] not in ("update", "query", "dump", "cells"):
         print(__doc__, file=sys.stderr)
@@ -58,7 +66,7 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
             for row in catalog.query(build_search(spark, args[2:])).toLocalIterator():
                 print(row[0])
         elif len(args) > 2:
-            catalog.dump().write.mode("overwrite").text(args[2])
+            dump_to_file(catalog, args[2])
         else:
             for row in catalog.dump().toLocalIterator():
                 print(row[0])

@@ -184,4 +184,9 @@ def test_command_line(spark, tmp_path, capsys):
     assert capsys.readouterr().out == "p1\n"
     assert main(["dump", folder], spark) == 0
     assert capsys.readouterr().out.splitlines()[0] == f"p1\t2005-01-01T10:00:00\t2005-01-01T12:01:00\t{BOX}"
+    assert main(["dump", folder, str(tmp_path / "all.csv")], spark) == 0
+    assert [x.split("\t")[0] for x in (tmp_path / "all.csv").read_text().splitlines()] == ["p1", "p2"] and not (tmp_path / "all.csv.parts").exists()
+    assert main(["cells", "10", "42"], spark) == 0
+    assert [x.split()[0] for x in capsys.readouterr().out.splitlines()] == [str(k) for k in range(14)]
+    assert main(["cells", "10"], spark) == 1
     assert main(["query", folder, "startTime"], spark) == 1 and main(["create", folder], spark) == 1 and main([], spark) == 1
