@@ -16,7 +16,7 @@ from swathkit.functions import cells as C
 from swathkit.functions import sphere as S
 from swathkit.functions.times import end_minute, millis, minute_text, start_minute
 from swathkit.operators import statistics as ST
-from swathkit.operators.catalog import first_by_path, insert_new, interned
+from swathkit.operators.catalog import first_by_path, insert_new, interned, with_geometry
 from swathkit.plans import matchup as M
 from swathkit.plans.search import Search, ordered, region_filter, search, time_filter, with_positions
 from swathkit.sources.points import number
@@ -473,13 +473,19 @@ def _bulge(lat: str, sign: str) -> str:
     return f"CASE WHEN {sign}{lat} > 0 THEN degrees(atan(tan(radians({lat})) / cos(radians((east - west) / 2.0)))) ELSE {lat} END"
 
 
-@query("footprint_bounds", f"{PRODUCTS_SQL} SELECT path, {MICRO.format(_bulge('south', '-'))} AS lat_lo, {MICRO.format(_bulge('north', ''))} AS lat_hi, {MICRO.format('west')} AS lng_lo, {MICRO.format('east')} AS lng_hi FROM p")
-def footprint_bounds(spark, d):
+@query("footprint_bounds_rounded", f"{PRODUCTS_SQL} SELECT path, {MICRO.format(_bulge('south', '-'))} AS lat_lo, {MICRO.format(_bulge('north', ''))} AS lat_hi, {MICRO.format('west')} AS lng_lo, {MICRO.format('east')} AS lng_hi FROM p")
+def footprint_bounds_rounded(spark, d):
     """Bounds of all footprints, in millionths of a degree."""
     b = products(spark, d).withColumn("b", S.wkt_bounds(F.col("wkt")))
     return b.select("path", *[micro(F.col(f"b.{n}")).alias(n) for n in ("lat_lo", "lat_hi", "lng_lo", "lng_hi")])
 
 
+@query("footprint_bounds")
+def footprint_bounds(spark, d):
+    """All products with cells and bounds, as a catalogue stores them."""
+    return with_geometry(products(spark, d).select("path", "start_min", "end_min", "wkt", "ingest_seq"))
+
+
 def _triangle(a, b, c) -> str:
     dot = lambda u, v: f"({u[0]} * {v[0]} + {u[1]} * {v[1]} + {u[2]} * {v[2]})"
     return f"2 * atan2({side_sql(b, c, a)}, 1 + {dot(a, b)} + {dot(a, c)} + {dot(b, c)})"
