@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -141,11 +141,25 @@ def filter_blocks(keys: DataFrame, key_at: Column, bits: int) -> DataFrame:
 
 def with_presence(rows: DataFrame, at: Column, blocks: DataFrame, bits: int, name: str) -> DataFrame:
     """Adds a boolean: whether the hash `at` may be in filter_blocks(..., bits), which is broadcast, so bits is MAX_BITMAP_BITS at most."""
-    mine = F.pmod(at, F.lit(bits).cast("long"))
-    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_off div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    out = rows.withColumns({"_at": mine}).withColumns({"_block": (F.col("_at") / BITMAP_BITS).cast("long"), "_off": F.pmod("_at", F.lit(BITMAP_BITS).cast("long"))})
-    bit = F.call_function("getbit", byte, F.pmod("_off", F.lit(8).cast("long")).cast("int")).cast("int")
-    return out.join(F.broadcast(blocks), "_block", "left").withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop("_at", "_block", "_off", "_bits")
+    place, block, off, own = fresh_names(rows, "_at", "_block", "_off", "_bits")
+    byte = F.conv(F.hex(F.expr(f"substring(`{own}`, cast(`{off}` div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    out = rows.withColumn(place, F.pmod(at, F.lit(bits).cast("long")))
+    out = out.withColumns({block: (F.col(place) / BITMAP_BITS).cast("long"), off: F.pmod(place, F.lit(BITMAP_BITS).cast("long"))})
+    bit = F.call_function("getbit", byte, F.pmod(off, F.lit(8).cast("long")).cast("int")).cast("int")
+    blocks = blocks.select(F.col("_block").alias(block), F.col("_bits").alias(own))
+    return out.join(F.broadcast(blocks), block, "left").withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop(place, block, off, own)
+
+
+def without(rows: DataFrame, hashed: Column, gone: DataFrame, gone_hash: Column, same: Callable[[DataFrame], Column]) -> DataFrame:
+    """rows that have no match in gone (a written table without names of rows): same(gone) says which match, and only those of equal hashes can.
+
+    A filter of gone's hashes is broadcast; only the rows that it may have are joined, so the others are not shuffled.
+    """
+    bits = min(filter_bits(gone.count()), MAX_BITMAP_BITS)
+    (may,) = fresh_names(rows, "_may")
+    flagged = with_presence(rows, hashed, filter_blocks(gone, gone_hash, bits), bits, may)
+    stay, rest = flagged.filter(~F.col(may)).drop(may), flagged.filter(may).drop(may)
+    return stay.unionByName(rest.join(gone, same(gone), "left_anti"))
 
 
 def presence_filter(rows: DataFrame, at: Column, keys: DataFrame, key_at: Column, n_keys: int) -> DataFrame:
