@@ -18,15 +18,18 @@ from swathkit.llm import exact_dedup as exact
 from swathkit.llm import packing, simhash
 from swathkit.llm import quality as pu
 from swathkit.llm.common import Scope, drop, fresh_names, prepare, table, written
+from swathkit.llm.common import without as rows_without
 from swathkit.llm.tokens import vocabulary
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows (doc_id, text_hash) of dropped."""
+    """docs without the rows (doc_id, text_hash) of dropped; only rows that a filter of dropped may have are shuffled."""
     of_id, of_hash = fresh_names(docs, "dropped_id", "dropped_hash")
-    out = dropped.select(F.col("doc_id").alias(of_id), F.col("text_hash").alias(of_hash)).distinct()
+    gone = written(dropped.select(F.col("doc_id").alias(of_id), F.col("text_hash").alias(of_hash)).distinct(), "dropped")
     own = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return docs.join(out, F.col("doc_id").eqNullSafe(F.col(of_id)) & (own == F.col(of_hash)), "left_anti")
+    key = lambda doc, text: F.xxhash64(F.coalesce(F.col(doc), F.lit(-1).cast("long")), text)
+    same = lambda g: F.col("doc_id").eqNullSafe(F.col(of_id)) & (own == F.col(of_hash))
+    return rows_without(docs, key("doc_id", own), gone, key(of_id, F.col(of_hash)), same)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
