@@ -78,7 +78,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends here, and a lost executor costs nothing before it."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return read_back(df, path)
+
+
+def read_back(df: DataFrame, path: str) -> DataFrame:
+    """The table that df was written to; drop() knows where it is."""
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
 
 
 def _at(spark: SparkSession, path: str):
@@ -87,12 +94,10 @@ def _at(spark: SparkSession, path: str):
 
 
 def drop(*tables: DataFrame) -> None:
-    """Delete tables made by written() that nothing reads any more."""
+    """Delete tables made by written() or read_back() that nothing reads any more."""
     for t in tables:
-        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
-            if "/swathkit/" in folder:
-                fs, p = _at(t.sparkSession, folder)
-                fs.delete(p, True)
+        fs, p = _at(t.sparkSession, t._scratch_path)
+        fs.delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swathkit.llm.common import MAX_BITMAP_BITS, documents, drop, filter_bits, filter_blocks, prepare, presence_filter, scratch, skew_join, table, with_presence, written
+from swathkit.llm.common import MAX_BITMAP_BITS, documents, drop, filter_bits, filter_blocks, prepare, presence_filter, read_back, scratch, skew_join, table, with_presence, written
 
 MEMTABLE_ROWS, LEAST_BATCHES = 1 << 26, 5  # documents of a flush at most, and flushes at least
 SPACES = r"[\x20\x09-\x0D]+"
@@ -73,7 +73,7 @@ class DigestIndex:
     def _flushed(self, df: DataFrame) -> Run:
         path = scratch(self.spark, "digest-run")
         df.sortWithinPartitions("digest").write.option("compression", "zstd").parquet(path)
-        rows = self.spark.read.schema(df.schema).parquet(path)
+        rows = read_back(df, path)
         bits = filter_bits(rows.count())
         return Run(rows, written(filter_blocks(rows, hash_long(F.col("digest")), bits), "digest-filter"), bits)
 
