@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from swathkit.functions.sphere import areas, by_vertices, caps, contains, ring_of, winds, xyz
+from swathkit.functions.sphere import Edges, areas, by_vertices, caps, contains, ring_of, xyz
 
 MAX_LEVEL, INT_LEVEL, DEFAULT_LEVEL = 30, 13, 4
 POSITION_TO_IJ = ((0, 1, 3, 2), (0, 2, 3, 1), (3, 2, 0, 1), (3, 1, 0, 2))
@@ -78,13 +78,15 @@ def ids_of_place(lon: float, lat: float, levels: range = range(INT_LEVEL + 1)) -
 
 @lru_cache(8)
 def grid(level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All cells of a level: 30-bit ids, centres, and angles from a centre to its farthest corner."""
+    """All cells of a level by ascending id: 30-bit ids, centres, and angles from a centre to its farthest corner."""
     n = 1 << level
     face, i, j = (x.ravel() for x in np.meshgrid(np.arange(6), np.arange(n), np.arange(n), indexing="ij"))
     at = lambda a, b: uv_xyz(face, st_to_uv((i + a) / n), st_to_uv((j + b) / n))
     centre = at(0.5, 0.5)
     corner = np.min([np.einsum("ij,ij->i", centre, at(a, b)) for a in (0.0, 1.0) for b in (0.0, 1.0)], axis=0)
-    return int_of(id_of_ij(face, i, j, level)), centre, np.arccos(np.clip(corner, -1, 1)) + 1e-9
+    ids = int_of(id_of_ij(face, i, j, level))
+    order = np.argsort(ids)
+    return ids[order], centre[order], (np.arccos(np.clip(corner, -1, 1)) + 1e-9)[order]
 
 
 def int_of(ids: np.ndarray) -> np.ndarray:
@@ -122,26 +124,22 @@ def covering(ring: np.ndarray, level: int = DEFAULT_LEVEL) -> list[int]:
     return sorted(ids[near[keep]].tolist())
 
 
-def coverings(rings: np.ndarray, level: int = DEFAULT_LEVEL) -> list[list[int]]:
-    """covering() of many rings with as many vertices."""
+def covered(rings: np.ndarray, level: int = DEFAULT_LEVEL) -> list[np.ndarray]:
+    """Sorted ids of covering() of many rings with as many vertices."""
     ids, centre, radius = grid(level)
     middle, reach = caps(rings)
-    ring, cell = np.nonzero(middle @ centre.T >= np.cos(np.minimum(reach[:, None] + radius[None], np.pi)) - 1e-12)
-    own, points = rings[ring], centre[cell]
-    keep = winds(own, points)
-    nearest = np.arccos(np.clip((own * points[:, None]).sum(axis=-1), -1, 1)).min(axis=1)
-    nxt = np.roll(own, -1, axis=1)
-    m = np.cross(own, nxt)
-    m = m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-15)
-    p = points[:, None, :]
-    foot = np.cross(m, np.cross(np.broadcast_to(p, m.shape), m))
-    inside = ((np.cross(own, foot) * m).sum(axis=-1) >= 0) & ((np.cross(foot, nxt) * m).sum(axis=-1) >= 0)
-    across = np.abs(np.arcsin(np.clip((m * p).sum(axis=-1), -1, 1)))
-    keep |= np.minimum(nearest, np.where(inside, across, np.pi).min(axis=1)) <= radius[cell]
-    out: list[list[int]] = [[] for _ in rings]
-    for r, c in zip(ring[keep].tolist(), ids[cell[keep]].tolist(), strict=True):
-        out[r].append(c)
-    return [sorted(x) for x in out]
+    ring, cell = np.nonzero(middle @ centre.T >= np.cos(np.minimum(reach + radius.max(), np.pi))[:, None] - 1e-12)
+    edges, points = Edges(rings), centre[cell]
+    keep = edges.away(ring, points) <= radius[cell]
+    rest = np.flatnonzero(~keep)
+    keep[rest] = edges.inside(ring[rest], points[rest])
+    ring, cell = ring[keep], cell[keep]
+    return np.split(ids[cell].astype(np.int32), np.searchsorted(ring, np.arange(1, len(rings))))
+
+
+def coverings(rings: np.ndarray, level: int = DEFAULT_LEVEL) -> list[list[int]]:
+    """covering() of many rings with as many vertices."""
+    return [x.tolist() for x in covered(rings, level)]
 
 
 def cell_union(ring: np.ndarray, max_level: int = DEFAULT_LEVEL, min_level: int = 0, max_cells: int = 500) -> list[int]:
@@ -186,12 +184,63 @@ def cell_union(ring: np.ndarray, max_level: int = DEFAULT_LEVEL, min_level: int
     return sorted(out)
 
 
+def cell_unions(rings: np.ndarray, max_level: int = DEFAULT_LEVEL, min_level: int = 0, max_cells: int = 500) -> list[np.ndarray]:
+    """cell_union() of many rings with as many vertices, all of them refined level by level at once."""
+    n, edges = len(rings), Edges(rings)
+    ring = np.repeat(np.arange(n), 6)
+    cells = np.zeros((6 * n, 3), np.int64)
+    cells[:, 0] = np.tile(np.arange(6), n)
+    done: list[tuple[np.ndarray, np.ndarray]] = []
+    n_done = np.zeros(n, np.int64)
+    for level in range(max_level + 1):
+        face, i, j = cells.T
+        at = lambda a, b: uv_xyz(face, st_to_uv((i + a) / (1 << level)), st_to_uv((j + b) / (1 << level)))  # noqa: B023, E731
+        centre = at(0.5, 0.5)
+        radius = np.max([2 * np.arcsin(np.linalg.norm(at(a, b) - centre, axis=-1) / 2) for a in (0.0, 1.0) for b in (0.0, 1.0)], axis=0) + 1e-9
+        inside, near = edges.inside(ring, centre), edges.away(ring, centre) <= radius
+        meets, whole = inside | near, inside & ~near
+        ring, cells, whole = ring[meets], cells[meets], whole[meets]
+        n_whole, n_parts = np.bincount(ring[whole], minlength=n), np.bincount(ring[~whole], minlength=n)
+        last = np.full(n, level == max_level) | ((level >= min_level) & (n_done + n_whole + 4 * n_parts > max_cells))
+        take = last[ring] | (whole & (level >= min_level))
+        done.append((ring[take], id_of_ij(*cells[take].T, level)))
+        n_done += np.bincount(ring[take], minlength=n)
+        ring, cells = np.repeat(ring[~take], 4), np.repeat(cells[~take], 4, axis=0) * [1, 2, 2] + np.tile([[0, a, b] for a in (0, 1) for b in (0, 1)], ((~take).sum(), 1))
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    ring, ids = np.empty(0, np.int64), np.empty(0, np.uint64)
+    for level in range(len(done) - 1, -1, -1):
+        ring, ids = (np.concatenate(x) for x in zip((ring, ids), done[level], strict=True))
+        full = np.zeros(len(ring), bool)
+        if level > min_level:
+            bit = np.uint64(1) << np.uint64(2 * (MAX_LEVEL - level + 1))
+            up = (ids & ~(bit | (bit - np.uint64(1)))) | bit
+            order = np.lexsort((up, ring))
+            ring, ids, up = ring[order], ids[order], up[order]
+            first = np.flatnonzero(np.append(True, (ring[1:] != ring[:-1]) | (up[1:] != up[:-1]))) if len(ring) else np.empty(0, np.int64)
+            count = np.diff(np.append(first, len(ring)))
+            full = np.repeat(count == 4, count)
+            out.append((ring[~full], ids[~full]))
+            ring, ids = ring[first[count == 4]], up[first[count == 4]]
+        else:
+            out.append((ring, ids))
+            ring, ids = ring[:0], ids[:0]
+    ring, ids = (np.concatenate(x) for x in zip(*out, strict=True))
+    ids = ids.view(np.int64)
+    order = np.lexsort((ids, ring))
+    return np.split(ids[order], np.searchsorted(ring[order], np.arange(1, n)))
+
+
 def wkt_cell_union(wkt: Column, max_level: int = DEFAULT_LEVEL, min_level: int = 0, max_cells: int = 500) -> Column:
     """array<bigint> of cell_union() of each WKT footprint."""
 
     @F.pandas_udf("array<bigint>")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else cell_union(ring_of(t), max_level, min_level, max_cells) for t in texts])
+        out: list[np.ndarray | None] = [None] * len(texts)
+        for at, rings in by_vertices(texts):
+            for k in range(0, len(at), 256):
+                for row, cells in zip(at[k : k + 256].tolist(), cell_unions(rings[k : k + 256], max_level, min_level, max_cells), strict=True):
+                    out[row] = cells
+        return pd.Series(out)
 
     return run.asNondeterministic()(wkt)
 
@@ -270,10 +319,10 @@ def wkt_covering(wkt: Column, level: int = DEFAULT_LEVEL) -> Column:
 
     @F.pandas_udf("array<int>")
     def run(texts: pd.Series) -> pd.Series:
-        out: list[list[int] | None] = [None] * len(texts)
+        out: list[np.ndarray | None] = [None] * len(texts)
         for at, rings in by_vertices(texts):
             for k in range(0, len(at), 256):
-                for row, cells in zip(at[k : k + 256].tolist(), coverings(rings[k : k + 256], level), strict=True):
+                for row, cells in zip(at[k : k + 256].tolist(), covered(rings[k : k + 256], level), strict=True):
                     out[row] = cells
         return pd.Series(out)
 
