@@ -227,9 +227,9 @@ def stream_lists(spark, d):
     """Lists as a stream, one file a micro-batch or more, into a catalogue; a restart adds nothing twice."""
     at = folder(spark, "stream")
     c = Catalog(spark, f"{at}/catalogue")
-    order_lines(spark, d).filter("k % 2 = 0").select("value").coalesce(2).write.text(f"{at}/in")
+    order_lines(spark, d).filter("k % 2 = 0").select("value").write.text(f"{at}/in")
     ingest(spark, f"{at}/in", c, f"{at}/checkpoint").awaitTermination()
-    order_lines(spark, d).select("value").coalesce(2).write.mode("append").text(f"{at}/in")
+    order_lines(spark, d).select("value").write.mode("append").text(f"{at}/in")
     ingest(spark, f"{at}/in", c, f"{at}/checkpoint").awaitTermination()
     return c.products().select("path", "start_min", "end_min")
 
@@ -237,7 +237,7 @@ def stream_lists(spark, d):
 @query("stream_bad_lines", "SELECT 'L' || o_orderkey AS path FROM orders WHERE o_orderkey % 11 = 0")
 def stream_bad_lines(spark, d):
     at = folder(spark, "bad")
-    order_lines(spark, d).select("value").coalesce(2).write.text(f"{at}/in")
+    order_lines(spark, d).select("value").write.text(f"{at}/in")
     ingest(spark, f"{at}/in", Catalog(spark, f"{at}/catalogue"), f"{at}/checkpoint").awaitTermination()
     return spark.read.option("recursiveFileLookup", "true").text(f"{at}/catalogue/bad_lines").select(F.split("value", "\t")[0].alias("path"))
 

@@ -41,6 +41,8 @@ def parsed(text: Column, pattern: str = PATTERN) -> Column:
     if pattern == PATTERN:
         known = F.regexp_extract(known, r"^(\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2})", 1)
         known = F.regexp_replace(F.regexp_replace(known, r"(?<=[-T:])(\d)(?=[-T:]|$)", "0$1"), r"^$", "")
+        # The usual form is known by one pattern; what follows its 19 characters is ignored there, too.
+        known = F.when(text.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d"), F.substring(text, 1, 19)).otherwise(known)
     return F.unix_millis(F.try_to_timestamp(known, F.lit(pattern)))
 
 

@@ -163,10 +163,8 @@ class Catalog:
         if self.own_level not in (None, meta["level"]):
             raise ValueError(f"the catalogue in {self.folder} has cells of level {meta['level']}, not {self.own_level}")
         version = meta["version"] + 1
-        names = [f.split(" ")[0] for f in SCHEMA.split(", ")]
-        add = with_geometry(only_new(old, new), meta["level"]).select(*names)
         path = f"{self.folder}/v{version}"
-        self._write(add, path)
+        self._write(only_new(old, new), path, meta["level"])
         if self.spark.read.schema(SCHEMA).parquet(path).isEmpty() and meta["parts"]:
             self.files.delete(path)
             return meta["version"]
@@ -186,10 +184,16 @@ class Catalog:
                 self.files.delete(f"{self.folder}/v{n}")
         return version
 
-    def _write(self, products: DataFrame, path: str) -> None:
-        """Products in start order."""
+    def _write(self, products: DataFrame, path: str, level: int | None = None) -> None:
+        """Products in start order; with a level, their geometry is added once they are in place.
+
+        The bounds of ranges come from a job of their own, which runs what is before it: geometry comes after, so that it is
+        computed once, and is not sorted.
+        """
+        names = [f.split(" ")[0] for f in SCHEMA.split(", ")]
         parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        products.repartitionByRange(parts, F.asc_nulls_first("start_min"), "ingest_seq").sortWithinPartitions(F.asc_nulls_first("start_min"), "ingest_seq").write.mode("overwrite").parquet(path)
+        rows = products.repartitionByRange(parts, F.asc_nulls_first("start_min"), "ingest_seq").sortWithinPartitions(F.asc_nulls_first("start_min"), "ingest_seq")
+        (rows if level is None else with_geometry(rows, level)).select(*names).write.mode("overwrite").parquet(path)
 
     def archive(self, lists: Sequence[str], suffix: str = ".csv") -> str:
         """Join lists to one file in the attic and delete them."""
