@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from swathkit.cli import main
 from swathkit.functions.times import literal_ms, parsed, without_fraction
 from swathkit.operators.catalog import Catalog, SimpleCatalog, TextCatalog
-from swathkit.plans.search import Search
+from swathkit.plans.search import Search, with_positions
 from swathkit.queries import BOX, BOX_SQL, DUMP_SQL, M0, M1, NAMES, PRODUCTS_SQL, REGION_SQL, REGION_WKT, WKT_SQL, intersects_sql, load, products, query, scan_sql, with_box
 from swathkit.sources.files import Files
 from swathkit.sources.points import read_points, records
-from swathkit.sources.products import bad_lines, dump_lines, in_minutes, read_products, write_dump
+from swathkit.sources.products import bad_lines, dump_line, dump_lines, in_minutes, read_products, write_dump
 from swathkit.streaming.pending import ingest
 
 YEAR = Search("year").with_dates("1997-01-01", "1997-12-31").with_time_rule("overlap")
@@ -44,9 +44,9 @@ def folder(spark: SparkSession, name: str) -> str:
 
 
 def text_file(lines: DataFrame, path: str, header: str = "") -> str:
-    """Lines (column value, in the order of column k) as one text file, a list of the size that users hand in."""
+    """Lines (column value, in the order of column k) as one text file: written by many tasks, in stretches of k, and joined by their names."""
     files = Files(lines.sparkSession)
-    lines.orderBy("k").select("value").coalesce(1).write.text(f"{path}.parts")
+    lines.orderBy("k").select("value").write.text(f"{path}.parts")
     parts = [f"{path}.parts/{n}" for n in files.names(f"{path}.parts", "part-")]
     if header:
         files.write(f"{path}.head", header.encode())
@@ -84,10 +84,10 @@ def list_read(spark, d):
 @query("list_order", f"{LINES_SQL} SELECT path, row_number() OVER (ORDER BY k) AS place FROM l")
 def list_order(spark, d):
     """Places of lines ascend with the lines, and none is taken twice."""
-    from pyspark.sql import Window
-
-    path = text_file(order_lines(spark, d), f"{folder(spark, 'list')}/one.csv")
-    return read_products(spark, path).select("path", F.row_number().over(Window.orderBy("ingest_seq")).cast("long").alias("place"))
+    at = folder(spark, "list")
+    path = text_file(order_lines(spark, d), f"{at}/one.csv")
+    read_products(spark, path).select("path", "ingest_seq", F.lit(None).cast("int").alias("start_min")).write.parquet(f"{at}/read")  # numbering takes passes
+    return with_positions(spark.read.parquet(f"{at}/read")).select("path", (F.col("pid") + 1).cast("long").alias("place"))  # no task has all lines
 
 
 @query("list_bad_lines", "SELECT 'L' || o_orderkey AS path FROM orders WHERE o_orderkey % 11 = 0")
@@ -126,9 +126,9 @@ def catalogue(spark: SparkSession, d: str, name: str) -> Catalog:
     later = lists.withColumns({"start_min": F.col("start_min") + 1440, "end_min": F.col("end_min") + 1440})
     c = Catalog(spark, f"{at}/catalogue")
     for k, part in enumerate((lists.filter("path LIKE 'O%' AND k % 4 = 0"), lists.filter("path LIKE 'O%' AND k % 2 = 0"))):
-        c.update([text_file(dump_lines(part.orderBy("k")).withColumn("k", F.monotonically_increasing_id()), f"{at}/{k}.csv")])
+        c.update([text_file(part.select("k", dump_line().alias("value")), f"{at}/{k}.csv")])
     for k, part in enumerate((later.filter("path LIKE 'O%' AND k % 3 = 0"), lists.filter("path LIKE 'S%'"))):
-        text_file(dump_lines(part.orderBy("k")).withColumn("k", F.monotonically_increasing_id()), f"{c.folder}/scan.{k}")
+        text_file(part.select("k", dump_line().alias("value")), f"{c.folder}/scan.{k}")
     return c
 
 

@@ -78,9 +78,14 @@ def in_minutes(products: DataFrame) -> DataFrame:
     return products.select("path", start_minute(F.col("start_ms")).alias("start_min"), end_minute(F.col("end_ms")).alias("end_min"), "wkt", "ingest_seq")
 
 
+def dump_line() -> Column:
+    """A product's path, start, end and WKT, tab-separated; "null" for no time."""
+    return F.concat_ws("\t", "path", minute_text(F.col("start_min")), minute_text(F.col("end_min")), "wkt")
+
+
 def dump_lines(products: DataFrame) -> DataFrame:
-    """One text column `value`: path, start, end, WKT, tab-separated; "null" for no time."""
-    return products.select(F.concat_ws("\t", "path", minute_text(F.col("start_min")), minute_text(F.col("end_min")), "wkt").alias("value"))
+    """One text column `value`, as dump_line() has it."""
+    return products.select(dump_line().alias("value"))
 
 
 def write_dump(products: DataFrame, path: str) -> None:
