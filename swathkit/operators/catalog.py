@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from swathkit.functions import cells as C
 from swathkit.functions.sphere import wkt_bounds
 from swathkit.functions.times import stamp
-from swathkit.plans.search import UNLIMITED, Search, ordered, search
+from swathkit.plans.search import UNLIMITED, Search, ordered, search, unordered
 from swathkit.sources.files import Files
 from swathkit.sources.products import dump_lines, in_minutes, read_products
 
@@ -216,13 +216,14 @@ class Catalog:
             raise ValueError("no search")
         self._check_open()
         level = self.level
-        each = what if limit_mode == "per_source" else what.with_limit(UNLIMITED)
+        limited = 0 < what.limit < UNLIMITED
+        find = search if limited and limit_mode == "per_source" else unordered  # only a limit needs the order of a source
         found = None
         for products in self.sources():
-            one = search(products if self.use_index or "cells" not in products.columns else products.drop("cells"), each, level).select("path", "start_min")
+            one = find(products if self.use_index or "cells" not in products.columns else products.drop("cells"), what, level).select("path", "start_min")
             found = one if found is None else found.unionByName(one)
         out = found.groupBy("path").agg(F.min("start_min").alias("start_min")).orderBy(F.asc_nulls_first("start_min"), "path")
-        return (out.limit(what.limit) if limit_mode == "global" and 0 < what.limit < UNLIMITED else out).select("path")
+        return (out.limit(what.limit) if limit_mode == "global" and limited else out).select("path")
 
     def dump(self) -> DataFrame:
         """All products as list lines, the catalogue's first; pending ones are not compared with them."""

@@ -185,6 +185,11 @@ def ordered(products: DataFrame, limit: int = UNLIMITED) -> DataFrame:
 
 def search(products: DataFrame, what: Search, level: int = C.DEFAULT_LEVEL) -> DataFrame:
     """The products found: path, start_min, ingest_seq, in order."""
+    return ordered(unordered(products, what, level), what.limit)
+
+
+def unordered(products: DataFrame, what: Search, level: int = C.DEFAULT_LEVEL) -> DataFrame:
+    """The products found, without the search's limit and in any order."""
     if what.points or what.point_table is not None:
         if what.region:
             warnings.warn("the region is ignored, as points are given", stacklevel=2)
@@ -197,7 +202,7 @@ def search(products: DataFrame, what: Search, level: int = C.DEFAULT_LEVEL) -> D
         found = matchup(products, points, what, level)
     else:
         found = region_filter(time_filter(products, what), what.region, level)
-    return ordered(found.select("path", "start_min", "ingest_seq"), what.limit)
+    return found.select("path", "start_min", "ingest_seq")
 
 
 def with_positions(products: DataFrame) -> DataFrame:
