@@ -12,10 +12,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from swathkit.functions.sphere import Edges, areas, by_vertices, caps, contains, ring_of, xyz
+from swathkit.functions.sphere import BOUNDS, Edges, areas, bounds_fields, by_vertices, caps, contains, own_bounds, ring_of, xyz
 
 MAX_LEVEL, INT_LEVEL, DEFAULT_LEVEL = 30, 13, 4
 POSITION_TO_IJ = ((0, 1, 3, 2), (0, 2, 3, 1), (3, 2, 0, 1), (3, 1, 0, 2))
@@ -124,17 +125,33 @@ def covering(ring: np.ndarray, level: int = DEFAULT_LEVEL) -> list[int]:
     return sorted(ids[near[keep]].tolist())
 
 
+def covered_flat(rings: np.ndarray, level: int = DEFAULT_LEVEL) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted ids of covering() of many rings with as many vertices, one ring's after the other's, and their numbers.
+
+    A cell whose cap meets the widest cap inside the ring is taken, one whose cap misses the cap round the ring is not; only
+    those between are compared with edges.
+    """
+    ids, centre, radius = grid(level)
+    edges, (middle, reach) = Edges(rings), caps(rings)
+    every = np.arange(len(rings))
+    room = np.where((reach < np.pi) & edges.inside(every, middle), edges.away(every, middle), -np.pi)
+    dots = (middle @ centre.T).ravel()
+    at = np.flatnonzero(dots.reshape(len(rings), -1) >= np.cos(np.minimum(reach + radius.max(), np.pi))[:, None] - 1e-12)
+    ring, cell = np.divmod(at, len(ids))
+    gap = np.arccos(np.clip(dots[at], -1, 1)) - radius[cell]
+    keep = gap <= room[ring] - 1e-9
+    open_ = np.flatnonzero(~keep & ((gap <= reach[ring] + 1e-9) | (reach[ring] == np.pi)))
+    points = centre[cell[open_]]
+    keep[open_] = near = edges.away(ring[open_], points) <= radius[cell[open_]]
+    rest = np.flatnonzero(~near)
+    keep[open_[rest]] = edges.inside(ring[open_[rest]], points[rest])
+    return ids[cell[keep]].astype(np.int32), np.bincount(ring[keep], minlength=len(rings))
+
+
 def covered(rings: np.ndarray, level: int = DEFAULT_LEVEL) -> list[np.ndarray]:
     """Sorted ids of covering() of many rings with as many vertices."""
-    ids, centre, radius = grid(level)
-    middle, reach = caps(rings)
-    ring, cell = np.nonzero(middle @ centre.T >= np.cos(np.minimum(reach + radius.max(), np.pi))[:, None] - 1e-12)
-    edges, points = Edges(rings), centre[cell]
-    keep = edges.away(ring, points) <= radius[cell]
-    rest = np.flatnonzero(~keep)
-    keep[rest] = edges.inside(ring[rest], points[rest])
-    ring, cell = ring[keep], cell[keep]
-    return np.split(ids[cell].astype(np.int32), np.searchsorted(ring, np.arange(1, len(rings))))
+    ids, count = covered_flat(rings, level)
+    return np.split(ids, np.cumsum(count)[:-1])
 
 
 def coverings(rings: np.ndarray, level: int = DEFAULT_LEVEL) -> list[list[int]]:
@@ -314,17 +331,46 @@ def cell_area(level: int = DEFAULT_LEVEL) -> float:
 # Columns. The vectorised ones count as nondeterministic, as in sphere: they stay where a plan puts them.
 
 
+PAIRS = 400_000  # of a ring and a cell, compared at once
+
+
+def _lists(n: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Array:
+    """Lists of n rows from parts of (places of rows, flat values, numbers of values); rows of no part are null."""
+    count, known = np.zeros(n, np.int64), np.zeros(n, bool)
+    for at, _, own in parts:
+        count[at], known[at] = own, True
+    offsets = np.append(0, np.cumsum(count))
+    values = np.empty(offsets[-1], np.int32)
+    for at, flat, own in parts:
+        values[np.repeat(offsets[at] - (np.cumsum(own) - own), own) + np.arange(len(flat))] = flat
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values), mask=pa.array(~known))
+
+
+def _cells(at: np.ndarray, rings: np.ndarray, level: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    n = max(1, PAIRS // (6 * 4**level))
+    return [(at[k : k + n], *covered_flat(rings[k : k + n], level)) for k in range(0, len(at), n)]
+
+
 def wkt_covering(wkt: Column, level: int = DEFAULT_LEVEL) -> Column:
     """array<int> of the cells that cover each WKT footprint."""
 
-    @F.pandas_udf("array<int>")
-    def run(texts: pd.Series) -> pd.Series:
-        out: list[np.ndarray | None] = [None] * len(texts)
+    @F.arrow_udf("array<int>")
+    def run(texts: pa.Array) -> pa.Array:
+        return _lists(len(texts), [part for at, rings in by_vertices(texts) for part in _cells(at, rings, level)])
+
+    return run.asNondeterministic()(wkt)
+
+
+def wkt_geometry(wkt: Column, level: int = DEFAULT_LEVEL) -> Column:
+    """struct(cells, lat_lo, lat_hi, lng_lo, lng_hi): wkt_covering() and wkt_bounds() of a text that is read once."""
+
+    @F.arrow_udf(f"struct<cells:array<int>,{','.join(f'{n}:double' for n in BOUNDS)}>")
+    def run(texts: pa.Array) -> pa.Array:
+        parts, box = [], np.full((len(texts), 4), np.nan)
         for at, rings in by_vertices(texts):
-            for k in range(0, len(at), 256):
-                for row, cells in zip(at[k : k + 256].tolist(), covered(rings[k : k + 256], level), strict=True):
-                    out[row] = cells
-        return pd.Series(out)
+            parts += _cells(at, rings, level)
+            box[at] = own_bounds(texts, at, rings)
+        return pa.StructArray.from_arrays([_lists(len(texts), parts), *bounds_fields(box)], ["cells", *BOUNDS])
 
     return run.asNondeterministic()(wkt)
 
@@ -332,9 +378,9 @@ def wkt_covering(wkt: Column, level: int = DEFAULT_LEVEL) -> Column:
 def point_cell(lon: Column, lat: Column, level: int = DEFAULT_LEVEL) -> Column:
     """30-bit id of each point's cell."""
 
-    @F.pandas_udf("int")
-    def run(lons: pd.Series, lats: pd.Series) -> pd.Series:
-        return pd.Series(int_of(cell_ids(xyz(lons.to_numpy(float), lats.to_numpy(float)), level)), dtype="int32")
+    @F.arrow_udf("int")
+    def run(lons: pa.Array, lats: pa.Array) -> pa.Array:
+        return pa.array(int_of(cell_ids(xyz(*(x.to_numpy(zero_copy_only=False).astype(float) for x in (lons, lats))), level)).astype(np.int32))
 
     return run.asNondeterministic()(lon, lat)
 

@@ -13,6 +13,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,13 +84,30 @@ def ring_of(wkt: str) -> np.ndarray:
     return v[::-1].copy() if area(v) > 2 * np.pi else v
 
 
-def plain_rings(texts: Sequence[str | None]) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[tuple[int, str]]]:
+def _numbers(texts: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Texts of single spaces and ", " alone, read without a step of Python a row: (places, n x vertices x 2) by the number of vertices; and the places of other texts, nulls not among them."""
+    inner = pc.utf8_slice_codeunits(texts, 10, -2)
+    parts = pc.split_pattern(pc.replace_substring(inner, ", ", " "), " ")
+    size = pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False)
+    commas = pc.fill_null(pc.count_substring(inner, ","), 0).to_numpy(zero_copy_only=False)
+    shaped = pc.and_(pc.and_(pc.starts_with(texts, "POLYGON (("), pc.ends_with(texts, "))")), pc.invert(pc.match_substring(inner, "(")))
+    known = pc.is_valid(texts).to_numpy(zero_copy_only=False)
+    usual = pc.fill_null(shaped, False).to_numpy(zero_copy_only=False) & (size >= 6) & (size == 2 * (commas + 1))
+    try:
+        n = pc.cast(pc.list_flatten(parts.filter(pa.array(usual))), pa.float64()).to_numpy(zero_copy_only=False)
+    except pa.ArrowInvalid:  # some number is spelt in another way, or is none
+        return [], np.flatnonzero(known)
+    places, size = np.flatnonzero(usual), size[usual]
+    first = np.cumsum(size) - size
+    return [(places[size == k], n[first[size == k][:, None] + np.arange(k)].reshape(-1, k // 2, 2)) for k in np.unique(size).tolist()], np.flatnonzero(known & ~usual)
+
+
+def plain_rings(texts: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[tuple[int, str]]]:
     """Texts in the usual form read at once, as read_wkt() reads them: (places in texts, n x vertices x 2 of lon and lat); and the other texts with their places."""
+    read, others = _numbers(texts)
     groups: dict[int, tuple[list[int], list[str], list[str]]] = {}
     rest = []
-    for k, t in enumerate(texts):
-        if t is None:
-            continue
+    for k, t in zip(others.tolist(), texts.take(pa.array(others)).to_pylist(), strict=True):
         n = t[10:-2].replace(",", " ").split() if t.startswith("POLYGON ((") and t.endswith("))") else ()
         if len(n) >= 6 and len(n) == 2 * (t.count(",") + 1) and t.rfind("(") == 9:
             at, own, numbers = groups.setdefault(len(n) // 2, ([], [], []))
@@ -97,27 +116,29 @@ def plain_rings(texts: Sequence[str | None]) -> tuple[list[tuple[np.ndarray, np.
             numbers += n
         else:
             rest.append((k, t))
-    out = []
     for size, (at, own, numbers) in groups.items():
         try:
-            v = np.array(list(map(float, numbers))).reshape(len(at), size, 2)
+            read.append((np.array(at), np.array(list(map(float, numbers))).reshape(len(at), size, 2)))
         except ValueError:
             rest += zip(at, own, strict=True)
-            continue
+    out = []
+    for at, v in read:
+        size = v.shape[1]
         closed = (v[:, 0] == v[:, -1]).all(axis=1) & (size > 3)
         for end, some in ((size - 1, closed), (size, ~closed)):
-            ring, places = v[some, :end], np.array(at)[some]
+            if not some.any():
+                continue
+            ring, places = v[some, :end], at[some]
             twice = (ring == np.roll(ring, 1, axis=1)).all(axis=-1).any(axis=1)
-            rest += [(k, texts[k]) for k in places[twice].tolist()]
+            rest += [(k, texts[k].as_py()) for k in places[twice].tolist()]
             if not twice.all():
                 out.append((places[~twice], ring[~twice]))
     return out, rest
 
 
-def by_vertices(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def by_vertices(texts: Iterable[str | None] | pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rings of many WKT texts at once: (places in texts, n x vertices x 3), groups with the same number of vertices; nulls are left out."""
-    texts = list(texts)
-    read, rest = plain_rings(texts)
+    read, rest = plain_rings(texts if isinstance(texts, pa.Array) else pa.array(list(texts), pa.string()))
     groups: dict[int, tuple[list[int], list[Ring]]] = {}
     for k, t in rest:
         ring = read_wkt(t)
@@ -294,12 +315,12 @@ def wkt_intersects(wkt: Column, region: str) -> Column:
     """Whether each WKT footprint meets the region."""
     query = ring_of(region)
 
-    @F.pandas_udf("boolean")
-    def run(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def run(texts: pa.Array) -> pa.Array:
         out = np.zeros(len(texts), bool)
         for at, rings in by_vertices(texts):
             out[at] = meet(rings, query)
-        return pd.Series(out)
+        return pa.array(out)
 
     return run.asNondeterministic()(wkt)
 
@@ -338,16 +359,30 @@ def wkt_equal(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
+def own_bounds(texts: pa.Array, at: np.ndarray, rings: np.ndarray) -> np.ndarray:
+    """many_bounds() of the rings that by_vertices() read at these places."""
+    out = many_bounds(rings)
+    for k in np.flatnonzero((np.abs(rings - np.roll(rings, 1, axis=1)).sum(axis=-1) <= 1e-15).any(axis=1)):  # one place by two names
+        out[k] = bounds(ring_of(texts[int(at[k])].as_py()))
+    return out
+
+
+def bounds_fields(values: np.ndarray) -> list[pa.Array]:
+    """Arrow columns of rows of bounds; NaN is null."""
+    return [pa.array(values[:, k], mask=np.isnan(values[:, k])) for k in range(4)]
+
+
+BOUNDS = ("lat_lo", "lat_hi", "lng_lo", "lng_hi")
+
+
 def wkt_bounds(wkt: Column) -> Column:
     """struct(lat_lo, lat_hi, lng_lo, lng_hi)."""
 
-    @F.pandas_udf("lat_lo double, lat_hi double, lng_lo double, lng_hi double")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        out, own = np.full((len(texts), 4), np.nan), texts.tolist()
-        for at, rings in by_vertices(own):
-            out[at] = many_bounds(rings)
-            for k in at[(np.abs(rings - np.roll(rings, 1, axis=1)).sum(axis=-1) <= 1e-15).any(axis=1)]:  # one place by two names
-                out[k] = bounds(ring_of(own[k]))
-        return pd.DataFrame(out, columns=["lat_lo", "lat_hi", "lng_lo", "lng_hi"])
+    @F.arrow_udf(f"struct<{','.join(f'{n}:double' for n in BOUNDS)}>")
+    def run(texts: pa.Array) -> pa.Array:
+        out = np.full((len(texts), 4), np.nan)
+        for at, rings in by_vertices(texts):
+            out[at] = own_bounds(texts, at, rings)
+        return pa.StructArray.from_arrays(bounds_fields(out), list(BOUNDS))
 
     return run(wkt)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swathkit.functions import cells as C
-from swathkit.functions.sphere import wkt_bounds
+from swathkit.functions.sphere import BOUNDS
 from swathkit.functions.times import stamp
 from swathkit.plans.search import UNLIMITED, Search, ordered, search, unordered
 from swathkit.sources.files import Files
@@ -48,8 +48,8 @@ def insert_new(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def with_geometry(products: DataFrame, level: int = C.DEFAULT_LEVEL) -> DataFrame:
     """Adds the cells that cover each footprint, and its bounds."""
-    b = products.withColumns({"cells": C.wkt_covering(F.col("wkt"), level), "b": wkt_bounds(F.col("wkt"))})
-    return b.select(*products.columns, "cells", "b.lat_lo", "b.lat_hi", "b.lng_lo", "b.lng_hi")
+    g = products.withColumn("g", C.wkt_geometry(F.col("wkt"), level))
+    return g.select(*products.columns, "g.cells", *[f"g.{n}" for n in BOUNDS])
 
 
 def interned(products: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swathkit.functions import cells as C
-from swathkit.functions.sphere import bounds, read_wkt, ring_of, wkt_contains, wkt_intersects, xyz
+from swathkit.functions.sphere import BOUNDS, bounds, read_wkt, ring_of, wkt_contains, wkt_intersects, xyz
 from swathkit.functions.times import DAY_MS, MINUTE_MS, literal_ms
 
 UNLIMITED = 2**31 - 1
@@ -146,9 +146,6 @@ def time_filter(products: DataFrame, search: Search) -> DataFrame:
     return products.filter(any_range)
 
 
-BOUNDS = ("lat_lo", "lat_hi", "lng_lo", "lng_hi")
-
-
 def in_bounds(box: tuple[float, float, float, float], slack: float = 1e-9) -> Column:
     """Whether a footprint's stored bounds meet a box (lat_lo, lat_hi, lng_lo, lng_hi); lng_lo above lng_hi crosses the antimeridian. Those without bounds pass."""
     south, north, west, east = box
@@ -160,12 +157,17 @@ def in_bounds(box: tuple[float, float, float, float], slack: float = 1e-9) -> Co
     return F.col("lat_lo").isNull() | F.isnan("lat_lo") | ((F.col("lat_lo") <= north + slack) & (F.col("lat_hi") >= south - slack) & across)
 
 
+def on_cells(cells: list[int]) -> Column:
+    """Whether a footprint's stored cells have any of these."""
+    return F.arrays_overlap("cells", F.array(*[F.lit(c) for c in cells]).cast("array<int>"))
+
+
 def pruned(products: DataFrame, box: tuple[float, float, float, float], cells: list[int]) -> DataFrame:
     """Products that may have to do with a place: by stored bounds, then by stored cells, if there are any."""
     if set(BOUNDS) <= set(products.columns):
         products = products.filter(in_bounds(box))
     if "cells" in products.columns:
-        products = products.filter(F.arrays_overlap("cells", F.array(*[F.lit(c) for c in cells]).cast("array<int>")))
+        products = products.filter(on_cells(cells))
     return products
 
 
