@@ -30,9 +30,9 @@ SCHEMA = "path string, start_min int, end_min int, wkt string, ingest_seq long,
 
 
 def first_by_path(new: DataFrame) -> DataFrame:
-    """Of rows that share a path, the first by ingest_seq."""
+    """Of rows that share a path, the first by ingest_seq. Few share one: rows are brought together before they are sorted, not after, too."""
     best = F.min_by(F.struct(*new.columns), "ingest_seq")
-    return new.groupBy("path").agg(best.alias("r")).select("r.*")
+    return new.repartition("path").groupBy("path").agg(best.alias("r")).select("r.*")
 
 
 def only_new(old: DataFrame, new: DataFrame) -> DataFrame:

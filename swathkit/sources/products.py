@@ -27,12 +27,13 @@ def lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 def fields(raw: DataFrame, live: Column | None = None) -> DataFrame:
     """Adds f, the fields of the lines that count (live, and not empty).
 
-    Fewer than four fields fail the read. The check asks itself whether the line counts, as filters may be reordered.
+    Fewer than four fields fail the read. The check asks itself whether the line counts, as filters may be reordered. A
+    generator gives f, so that a line is split once, and not wherever a later filter or column uses a field.
     """
     live = F.col("line") != "" if live is None else live & (F.col("line") != "")
     f = F.split("line", "\t", -1)
     checked = F.when(live & (F.size(f) < 4), F.raise_error(F.concat(F.lit("fewer than four fields: "), F.col("line")))).otherwise(f)
-    return raw.withColumn("f", checked).filter(live)
+    return raw.select("*", F.explode(F.array(checked)).alias("f")).filter(live)
 
 
 def _fields(raw: DataFrame, stop_at_blank: bool) -> DataFrame:
