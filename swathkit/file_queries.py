@@ -43,6 +43,12 @@ def folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def stored(rows: DataFrame, path: str) -> DataFrame:
+    """Rows that are used several times, written once and read back."""
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def text_file(lines: DataFrame, path: str, header: str = "") -> str:
     """Lines (column value, in the order of column k) as one text file: written by many tasks, in stretches of k, and joined by their names."""
     files = Files(lines.sparkSession)
@@ -122,13 +128,14 @@ def dump_round_trip(spark, d):
 def catalogue(spark: SparkSession, d: str, name: str) -> Catalog:
     """Orders with even keys in the catalogue, by two updates; those that three divides in a pending list, dated a day later; suppliers in another."""
     at = folder(spark, name)
-    lists = products(spark, d)
+    lists = stored(products(spark, d).select("path", "start_min", "end_min", "wkt", "k"), f"{at}/products")
     later = lists.withColumns({"start_min": F.col("start_min") + 1440, "end_min": F.col("end_min") + 1440})
     c = Catalog(spark, f"{at}/catalogue")
     for k, part in enumerate((lists.filter("path LIKE 'O%' AND k % 4 = 0"), lists.filter("path LIKE 'O%' AND k % 2 = 0"))):
         c.update([text_file(part.select("k", dump_line().alias("value")), f"{at}/{k}.csv")])
     for k, part in enumerate((later.filter("path LIKE 'O%' AND k % 3 = 0"), lists.filter("path LIKE 'S%'"))):
         text_file(part.select("k", dump_line().alias("value")), f"{c.folder}/scan.{k}")
+    c.files.delete(f"{at}/products")
     return c
 
 
