@@ -261,7 +261,9 @@ class TextCatalog:
         return in_minutes(read_products(self.spark, self.path))
 
     def query(self, what: Search) -> DataFrame:
-        return ordered(search(self.products(), what), what.limit).select("path")
+        found = unordered(self.products(), what)
+        # What samples starts runs what is before it: only the found rows then, not the list's text again.
+        return ordered(found if 0 < what.limit < UNLIMITED else found.repartition("ingest_seq"), what.limit).select("path")
 
     def size(self) -> int:
         return self.products().count()
